@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalikes, multiset
+from . import lookalikes, multiset, neardup
 
 QUERIES = {}
 SQL = {}
@@ -40,3 +40,13 @@ def p3_found(spark, d):
 @query("p3_copies")
 def p3_copies(spark, d):
     return multiset.copies(table(spark, d, "fandoms_v3_100"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return neardup.alike_pairs(table(spark, d, "fandoms_v3_100"))
+
+
+@query("p4_classes")
+def p4_classes(spark, d):
+    return neardup.classes(table(spark, d, "fandoms_v3_100"))
