@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalikes, multiset, neardup
+from . import increments, lookalikes, multiset, neardup
 
 QUERIES = {}
 SQL = {}
@@ -50,3 +50,13 @@ def p4_found(spark, d):
 @query("p4_classes")
 def p4_classes(spark, d):
     return neardup.classes(table(spark, d, "fandoms_v3_100"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return p5_verdicts(spark, d).where("verdict <> 'new'").select("cand_id")
+
+
+@query("p5_verdicts")
+def p5_verdicts(spark, d):
+    return increments.verdicts(table(spark, d, "fandoms_v3_100"), table(spark, d, "merge_log_r71"))
