@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import increments, lookalikes, multiset, neardup
+from . import increments, lookalikes, multiset, neardup, terms
 
 QUERIES = {}
 SQL = {}
@@ -60,3 +60,25 @@ def p5_found(spark, d):
 @query("p5_verdicts")
 def p5_verdicts(spark, d):
     return increments.verdicts(table(spark, d, "fandoms_v3_100"), table(spark, d, "merge_log_r71"))
+
+
+_TERMS = """
+SELECT {select} FROM (
+  SELECT 't' AS field, term, count(*) AS uses, count(DISTINCT bullet_id) AS records, (SELECT count(*) FROM fandoms_v3_100) AS n
+  FROM (SELECT bullet_id, unnest(regexp_extract_all(lower(replace(t, 'İ', 'i̇')), '[가-힣]{{2,}}|[a-zß-öø-ɏḀ-ỿ]{{2,}}')) AS term FROM fandoms_v3_100) GROUP BY term
+  UNION ALL
+  SELECT 'top_30.word', term, count(*), count(DISTINCT cloud_id), (SELECT count(*) FROM wordcloud_by_language_v7)
+  FROM (SELECT cloud_id, lower(replace(trim(x.word), 'İ', 'i̇')) AS term FROM (SELECT cloud_id, unnest(top_30) AS x FROM wordcloud_by_language_v7)) WHERE term <> '' GROUP BY term
+) {where}"""
+
+
+@query("p6_found", _TERMS.format(select="field, term, CASE WHEN records = 1 THEN 'rare' ELSE 'common' END AS mark", where="WHERE records = 1 OR records > 0.08 * n"))
+def p6_found(spark, d):
+    return p6_terms(spark, d).where("mark is not null").select("field", "term", "mark")
+
+
+@query("p6_terms", _TERMS.format(select="field, term, uses, records, CASE WHEN records = 1 THEN 'rare' WHEN records > 0.08 * n THEN 'common' END AS mark", where=""))
+def p6_terms(spark, d):
+    t = terms.frequencies(table(spark, d, "fandoms_v3_100"), "t").select(F.lit("t").alias("field"), "*")
+    w = terms.frequencies(table(spark, d, "wordcloud_by_language_v7"), "top_30", words=True).select(F.lit("top_30.word").alias("field"), "*")
+    return t.unionByName(w)
