@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import increments, lookalikes, multiset, neardup, terms
+from . import increments, leaks, lookalikes, multiset, neardup, terms
 
 QUERIES = {}
 SQL = {}
@@ -82,3 +82,13 @@ def p6_terms(spark, d):
     t = terms.frequencies(table(spark, d, "fandoms_v3_100"), "t").select(F.lit("t").alias("field"), "*")
     w = terms.frequencies(table(spark, d, "wordcloud_by_language_v7"), "top_30", words=True).select(F.lit("top_30.word").alias("field"), "*")
     return t.unionByName(w)
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return p7_leaks(spark, d).where("leaked").select("doc_id", "item_id")
+
+
+@query("p7_leaks")
+def p7_leaks(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
