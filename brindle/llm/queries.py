@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import increments, leaks, lookalikes, multiset, neardup, terms
+from . import increments, leaks, lookalikes, multiset, neardup, sentences, terms
 
 QUERIES = {}
 SQL = {}
@@ -92,3 +92,13 @@ def p7_found(spark, d):
 @query("p7_leaks")
 def p7_leaks(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return p9_sentences(spark, d).select("doc_id", "start_pos", "end_pos").distinct()
+
+
+@query("p9_sentences")
+def p9_sentences(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
