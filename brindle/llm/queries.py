@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import increments, leaks, lookalikes, multiset, neardup, sentences, terms
+from . import increments, languages, leaks, lookalikes, multiset, neardup, sentences, terms
 
 QUERIES = {}
 SQL = {}
@@ -102,3 +102,13 @@ def p9_found(spark, d):
 @query("p9_sentences")
 def p9_sentences(spark, d):
     return sentences.sentence_units(table(spark, d, "documents"))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return p1_stretches(spark, d).where("n_segs > 1 or declared is null or declared <> lang").select("bullet_id", "seg_no", "lang").distinct()
+
+
+@query("p1_stretches")
+def p1_stretches(spark, d):
+    return languages.stretches(table(spark, d, "fandoms_v3_100"))
