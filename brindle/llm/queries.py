@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import increments, languages, leaks, lookalikes, multiset, neardup, sentences, terms
+from . import increments, languages, leaks, lookalikes, mixing, multiset, neardup, sentences, terms
 
 QUERIES = {}
 SQL = {}
@@ -112,3 +112,13 @@ def p1_found(spark, d):
 @query("p1_stretches")
 def p1_stretches(spark, d):
     return languages.stretches(table(spark, d, "fandoms_v3_100"))
+
+
+@query("p8_mix")
+def p8_mix(spark, d):
+    return mixing.mixtures(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
