@@ -16,10 +16,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .forms import skeletons
-from .io import arrow_map, plain, slices
+from .io import arrow_map, bounded_sample, plain, slices
 
 # The languages, and other codes and names for them.
 LANGS = ("ko", "en", "ja", "zh", "es", "fr", "th", "id", "vi", "ru", "tl", "pt", "tr", "ar")
@@ -174,7 +173,7 @@ def decode(rows: list[list[str]], model: WordModel, chunk: int = 1024) -> list[l
 
 def fit_on(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE) -> WordModel:
     """A model fitted on `sample` labelled rows at most, chosen by a hash of their key."""
-    rows = plain(df, k=key, t=text, l=lang).where("length(t) > 0 and length(l) > 0").orderBy(F.xxhash64("k"), "t").limit(sample).select("t", "l").collect()  # the documented bound
+    rows = bounded_sample(plain(df, k=key, t=text, l=lang).where("length(t) > 0 and length(l) > 0"), sample, "k", "t")
     return fit([(r["t"], l) for r in rows if (l := label(r["l"]))])
 
 
