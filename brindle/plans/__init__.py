@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Queries of the engine: importing this package registers them."""
+
+from . import entity_queries, text_queries  # noqa: F401
