@@ -92,7 +92,10 @@ class Trie:
 
 
 def vocabulary(df: DataFrame, text: str, size: int = 20_000, least: int = 3) -> list[tuple[str, str]]:
-    """(look, spelling) of the `size` commonest words written in one alphabet, counted over all rows; of the spellings of a look the commonest."""
+    """(look, spelling) of the common words written in one alphabet, counted over all rows; of the spellings of a look the commonest.
+
+    Common are words that make up a share of 1 / `size` of all words at least, which can't be more than `size` words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -113,8 +116,9 @@ def vocabulary(df: DataFrame, text: str, size: int = 20_000, least: int = 3) ->
                 yield out()
         yield out()
 
-    n = arrow_map(plain(df, t=text), count, "look string, w string, n long").groupBy("look", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = n.orderBy(F.desc("n"), "w").limit(size).collect()  # at most `size` short rows
+    n = keep(arrow_map(plain(df, t=text), count, "look string, w string, n long").groupBy("look", "w").agg(F.sum("n").alias("n")), "words")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    top = sorted(n.where(F.col("n") >= max(least, total / size)).collect(), key=lambda r: (-r["n"], r["w"]))
     best: dict[str, str] = {}
     for r in top:
         best.setdefault(r["look"], r["w"])
