@@ -139,7 +139,8 @@ def grams(arr: np.ndarray, starts: np.ndarray, lens: np.ndarray, q: int) -> tupl
     g = np.zeros(n, np.uint64)
     for i in range(q):
         g *= np.uint64(0x9E3779B97F4A7C15)
-        g[: n - i] += c[i:]
+        if i < n:
+            g[: n - i] += c[i:]
     row = np.repeat(np.arange(len(lens)), lens)
     at = np.arange(n)
     ok = at - starts[row] <= np.maximum(lens[row] - q, 0)

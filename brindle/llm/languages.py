@@ -33,7 +33,7 @@ SAMPLE = 20_000
 #: Cost of switching language in nats, between clauses and within one.
 BETWEEN, WITHIN = 7.0, 16.0
 
-_TOKEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ]+|[가-힣]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿]|[฀-๿]+|[؀-ۿ]+|[.!?…。！？؟|\n;]+|(?<=\s)[/—–·-](?=\s)")
+_TOKEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ]+|[가-힣]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿]|[฀-๿]{1,6}|[؀-ۿ]+|[.!?…。！？؟|\n;]+|(?<=\s)[/—–·-](?=\s)")
 _SEPARATOR = re.compile(r"[.!?…。！？؟|\n;/—–·-]")
 _CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯё]")
 # Which languages a script admits.
@@ -66,9 +66,9 @@ def script(w: str) -> str:
     return "han" if "㐀" <= c <= "鿿" else "kana"
 
 
-def tokens(text: str) -> list[str]:
-    """Words, runs and single Han characters in lower case, with the separators of clauses between them."""
-    return _TOKEN.findall(text.lower())
+def tokens(texts: list[str | None]) -> list[list[str]]:
+    """Of each text the words, runs of characters where words aren't set apart, and single Han characters, in lower case, with the separators of clauses between them."""
+    return [_TOKEN.findall(t.lower()) for t in skeletons([t and t.replace("\n", " | ") for t in texts])]
 
 
 @lru_cache(1 << 17)
@@ -83,6 +83,7 @@ class WordModel:
 
     number: dict[str, int]
     scores: np.ndarray  # of known words, then of the scripts' unknown words, then 0 for separators
+    prior: np.ndarray  # how common each language is
 
     def ids(self, words: list[str]) -> list[int]:
         get, n = self.number.get, len(self.number)
@@ -108,12 +109,13 @@ def _estimate(rows: list[tuple[list[str], int]], least: int = 3) -> WordModel:
     s = np.log(p)
     s -= s.max(1, keepdims=True)
     s = np.maximum(s, -9.0)
-    return WordModel({w: i for i, w in enumerate(known)}, np.vstack([s, np.zeros(len(LANGS))]).astype(np.float32))
+    n = np.bincount([l for _, l in rows], minlength=len(LANGS)) + 1.0
+    return WordModel({w: i for i, w in enumerate(known)}, np.vstack([s, np.zeros(len(LANGS))]).astype(np.float32), np.log(n / n.sum()).astype(np.float32))
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 2) -> WordModel:
     """A model from (text, language), some of which are wrong or mixed: refitted on the rows that it agrees with."""
-    data = [(tokens(t), LANGS.index(l)) for t, l in zip(skeletons([t for t, _ in rows]), [l for _, l in rows])]
+    data = [(ws, LANGS.index(l)) for ws, (_, l) in zip(tokens([t for t, _ in rows]), rows)]
     model = _estimate(data)
     for _ in range(rounds):
         said = decode([ws for ws, _ in data], model)
@@ -144,7 +146,7 @@ def decode(rows: list[list[str]], model: WordModel, chunk: int = 1024) -> list[l
         barred = np.where(scripts[:, :-1] @ _ADMITS, 0.0, -60.0).astype(np.float32)
         e = model.scores[ids]
         cost = np.where(ids == nothing, BETWEEN, WITHIN).astype(np.float32)
-        v = e[:, 0] + barred
+        v = e[:, 0] + barred + model.prior
         back = np.empty((t, n, len(LANGS)), np.int8)
         own = np.arange(len(LANGS), dtype=np.int8)[None, :]
         for k in range(1, t):
@@ -164,7 +166,7 @@ def decode(rows: list[list[str]], model: WordModel, chunk: int = 1024) -> list[l
                 continue
             cuts = [0, *(np.flatnonzero(np.diff(path[r, :m])) + 1).tolist(), m]
             for a, b in zip(cuts, cuts[1:]):
-                s = e[r, a:b].sum(0) + barred[r]
+                s = e[r, a:b].sum(0) + barred[r] + model.prior
                 l = int(path[r, a])
                 p = np.exp((s - s.max()) / max(1.0, np.sqrt(b - a)))
                 out[i].append((l, a, b, float(p[l] / p.sum())))
@@ -191,7 +193,7 @@ def stretches(df: DataFrame, key: str = "bullet_id", text: str = "t", lang: str
         for b in slices(batches):
             ids, ls = b.column(0).to_pylist(), b.column(2).to_pylist()
             rows = []
-            for i, l, found in zip(ids, ls, decode([tokens(t) for t in skeletons(b.column(1).to_pylist())], m)):
+            for i, l, found in zip(ids, ls, decode(tokens(b.column(1).to_pylist()), m)):
                 d = label(l)
                 rows.extend((i, k + 1, LANGS[f[0]], f[3], len(found), d) for k, f in enumerate(found))
             types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())

@@ -69,14 +69,19 @@ def item_grams(texts: list[np.ndarray], dense: list[bool]) -> list[Seeds]:
 
 
 def choose(seeds: Seeds, count: np.ndarray, lens: np.ndarray, run: int) -> Seeds:
-    """The rarest seed of every stretch of `run` characters of each item (of the whole item if it is shorter)."""
+    """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter).
+
+    A stretch that the corpus holds has no seed that doesn't occur, so none of those is needed.
+    """
     keep = np.zeros(len(seeds.hashes), bool)
+    count = np.where(count > 0, count, np.iinfo(np.int64).max)
     order = np.lexsort((seeds.at, seeds.item))
     for part in np.split(order, np.flatnonzero(np.diff(seeds.item[order])) + 1):
         w = max(1, min(run - seeds.width + 1, len(part)))
         c = count[part]
         view = np.lib.stride_tricks.sliding_window_view(c, w)
-        keep[part[np.unique(view.argmin(1) + np.arange(len(view)))]] = True
+        best = np.unique(view.argmin(1) + np.arange(len(view)))
+        keep[part[best[c[best] < np.iinfo(np.int64).max]]] = True
     return Seeds(seeds.width, seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
 
 
