@@ -105,7 +105,7 @@ def _estimate(rows: list[tuple[list[str], int]], least: int = 3) -> WordModel:
             unknown[_SCRIPT_NO[script(w)]] += c
     total = np.sum(list(known.values()), axis=0) + unknown.sum(0) + 1 if known else unknown.sum(0) + 1
     table = np.array([*known.values(), *unknown]) if known else unknown
-    p = (table + 0.02) / (total + 0.02 * len(table))
+    p = (table + 0.3) / (total + 0.3 * len(table))  # a few chance counts of a name are no evidence
     s = np.log(p)
     s -= s.max(1, keepdims=True)
     s = np.maximum(s, -9.0)
