@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | None = Non
     return df.select(*[F.col(f"`{c}`").try_cast((schema or {}).get(c, "string")).alias(c) for c in df.columns])
 
 
-def read_wide(spark: SparkSession, path: str, index: str, name: str = "term", value: str = "value") -> DataFrame:
+def read_wide(spark: SparkSession, path: str, index: str, name: str = "name", value: str = "value") -> DataFrame:
     """A CSV matrix with an index column as rows (index, name, value)."""
     df = read_csv(spark, path)
     first, *rest = df.columns
