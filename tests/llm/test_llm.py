@@ -279,7 +279,7 @@ def test_languages(spark, bullets, corpus):
     assert got[900] == ["ko", "en"] and got[901] == ["es", "th", "es"] and not {902, 903, 904} & got.keys()
     # the corpus here is English, but a third of its labelled copies say fr for the very same sentences, which only their names could tell apart
     mine = languages.stretches(corpus).where("bullet_id < 200").toPandas()
-    assert (mine.lang == "en").mean() > 0.75 and set(mine.lang[mine.confidence > 0.95]) == {"en"}
+    assert (mine.lang == "en").mean() > 0.9 and set(mine.lang[mine.confidence > 0.9]) <= {"en"}
     assert languages.label("zh-CN") == languages.label("ZHO") == "zh" and languages.label("und") is languages.label("") is languages.label(None) is None
 
 
