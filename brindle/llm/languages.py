@@ -31,7 +31,7 @@ CODES = {
 #: Labelled rows that the model is fitted on, the bound of the sample.
 SAMPLE = 20_000
 #: Cost of switching language in nats, between clauses and within one.
-BETWEEN, WITHIN = 7.0, 16.0
+BETWEEN, WITHIN = 9.0, 24.0
 
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ]+|[가-힣]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿]|[฀-๿]{1,6}|[؀-ۿ]+|[.!?…。！？؟|\n;]+|(?<=\s)[/—–·-](?=\s)")
 _SEPARATOR = re.compile(r"[.!?…。！？؟|\n;/—–·-]")
