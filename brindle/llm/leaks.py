@@ -21,6 +21,8 @@ from .io import arrow_map, plain, slices
 #: The shortest shared run that is a leak, in bare characters, and that for languages without blanks between words.
 RUN, RUN_DENSE, DENSE = 60, 30, ("ja", "zh")
 SEED, SEED_DENSE = 20, 12
+#: A seed is rare if it occurs up to so many times, or once in so many documents.
+RARE, RARE_SHARE = 20, 1 / 5000
 #: Seeds that are sent to the tasks at once; more items are scanned for in blocks.
 BLOCK_SEEDS = 1_000_000
 #: Scores of the alignment.
@@ -68,20 +70,23 @@ def item_grams(texts: list[np.ndarray], dense: list[bool]) -> list[Seeds]:
     return out
 
 
-def choose(seeds: Seeds, count: np.ndarray, lens: np.ndarray, run: int) -> Seeds:
+def choose(seeds: Seeds, count: np.ndarray, rare: float, run: int) -> Seeds:
     """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter).
 
-    A stretch that the corpus holds has no seed that doesn't occur, so none of those is needed.
+    A stretch that the corpus holds has no seed that doesn't occur. Of the other stretches seeds are used that are
+    rare, which find edited copies.
     """
     keep = np.zeros(len(seeds.hashes), bool)
-    count = np.where(count > 0, count, np.iinfo(np.int64).max)
+    never = np.iinfo(np.int64).max
+    count = np.where(count > 0, count, never)
     order = np.lexsort((seeds.at, seeds.item))
     for part in np.split(order, np.flatnonzero(np.diff(seeds.item[order])) + 1):
         w = max(1, min(run - seeds.width + 1, len(part)))
         c = count[part]
         view = np.lib.stride_tricks.sliding_window_view(c, w)
-        best = np.unique(view.argmin(1) + np.arange(len(view)))
-        keep[part[best[c[best] < np.iinfo(np.int64).max]]] = True
+        best = view.argmin(1) + np.arange(len(view))
+        use = (c[best] < never) & ((view.max(1) < never) | (c[best] <= rare))
+        keep[part[np.unique(best[use])]] = True
     return Seeds(seeds.width, seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
 
 
@@ -196,6 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     documents or no items the result is empty.
     """
     src = plain(docs, k=doc, t=text)
+    rare = max(RARE, src.count() * RARE_SHARE)
     out = None
     block: list = []
     size = 0
@@ -205,8 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
         texts = [Bare([r[1]]).arr for r in block]
         every = item_grams(texts, langs)
         runs = [RUN_DENSE if d else RUN for d in langs]
-        lens = np.array([len(t) for t in texts])
-        chosen = [choose(s, n, lens, RUN if s.width == SEED else RUN_DENSE) for s, n in zip(every, _count(src, every))]
+        chosen = [choose(s, n, rare, RUN if s.width == SEED else RUN_DENSE) for s, n in zip(every, _count(src, every))]
         return _scan(src, chosen, ids, texts, runs)
 
     for r in plain(items, i=item, p=passage, l=lang).distinct().toLocalIterator():  # the items pass the driver block by block

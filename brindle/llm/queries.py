@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread
+from ..runtime import table as _table
 from . import increments, languages, leaks, lookalikes, mixing, multiset, neardup, sentences, terms
 
 QUERIES = {}
 SQL = {}
 
 
+def table(spark, d, name):
+    return spread(_table(spark, d, name))
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
