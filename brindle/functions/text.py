@@ -42,7 +42,11 @@ def strip_hosts(t: Column) -> Column:
 def strip_particle(w: Column, particles: list[str] | None = None) -> Column:
     """The longest ending of the list that leaves at least two characters is cut, once."""
     ends = "|".join(sorted({literal(p) for p in particles or V.PARTICLES}, key=lambda p: (-len(p), p)))
-    return F.regexp_replace(w, f"^(.{{2,}}?)(?:{ends})$", "$1")
+    cut = F.regexp_replace(w, f"^(.{{2,}}?)(?:{ends})$", "$1")
+    if particles is not None:
+        return cut
+    last = "".join(sorted({p[-1] for p in V.PARTICLES}))
+    return F.when(w.rlike(f"[{last}]$"), cut).otherwise(w)  # most words end otherwise, and the long pattern is spared
 
 
 def keep_word(w: Column, stop: list[str] | None = None, stop_lower: list[str] | None = None) -> Column:
@@ -56,7 +60,10 @@ def generic_tokens(t: Column, slug: Column | None = None) -> Column:
     """Tokens of a text: host fragments out, endings cut, stop words out, and words that repeat the source's own name."""
     words = F.transform(find_all(strip_hosts(t), TOKEN), lambda w: strip_particle(w))
     words = F.filter(words, lambda w: keep_word(w))
-    return words if slug is None else F.filter(words, lambda w: F.lower(w) != F.coalesce(slug, F.lit("")))
+    if slug is None:
+        return words
+    # the name is bound to a variable, lest it be worked out anew for every word
+    return F.get(F.transform(F.array(F.coalesce(slug, F.lit(""))), lambda s: F.filter(words, lambda w: F.lower(w) != s)), F.lit(0))
 
 
 def vectorizer_words(doc: Column) -> Column:

@@ -74,24 +74,40 @@ def tag_hits(items: DataFrame, tags: dict[str, list[str]], mode: str = "literal"
     return items.withColumn("tag", F.explode(F.filter(found, lambda x: x.isNotNull())))
 
 
-def distinct_share(items: DataFrame, hits: DataFrame, of: str, n: Column, name: str) -> DataFrame:
-    """(entity, name): distinct values of a column among an entity's hits over n; 0 for an entity without hits."""
-    k = hits.groupBy("entity").agg(F.countDistinct(of).alias("_k"))
-    return items.select("entity").distinct().join(k, "entity", "left").select("entity", (F.coalesce("_k", F.lit(0)) / n).alias(name))
-
-
-def coverage(items: DataFrame, n_languages: int = 6) -> DataFrame:
-    """(entity, language, market, source, time, entity_kinds, coverage) of every entity: breadths of its evidence and their weighted sum."""
-    d = items.withColumn("_d", U.domain(F.col("u")))
-    langs = d.withColumn("_l", U.source_language(F.col("_d"), F.col("t"))).groupBy("entity", "_l").agg(F.count("*").alias("_n"))
-    language = entropy(langs, "entity", "_n", n_languages).withColumnRenamed("entropy", "language")
-    market = distinct_share(items, tag_hits(items, V.MARKETS, "folded"), "tag", F.lit(float(len(V.MARKETS))), "market")
-    source = distinct_share(items, d.withColumn("_s", U.source_type(F.col("_d"))), "_s", F.lit(3.0), "source")
-    years = items.select("entity", F.explode(T.years(F.col("t"))).alias("year"))
-    n_years = years.agg(F.greatest(F.countDistinct("year"), F.lit(1)).alias("_ny"))
-    time = distinct_share(items, years, "year", F.lit(1.0), "_t").join(F.broadcast(n_years)).select("entity", (F.col("_t") / F.col("_ny")).alias("time"))
-    kinds = distinct_share(items, tag_hits(items, V.ORGANISATIONS, "bounded"), "tag", F.lit(float(len(V.ORGANISATIONS))), "entity_kinds")
-    out = reduce(lambda a, b: a.join(b, "entity"), (language, market, source, time, kinds))
+COVERAGE_LANGS = ("ko", "en", "ja", "zh", "es", "fr")
+SOURCES = ("community_social", "reference_wiki", "news_media")
+
+
+def coverage(items: DataFrame, n_languages: int = len(COVERAGE_LANGS)) -> DataFrame:
+    """(entity, language, market, source, time, entity_kinds, coverage) of every entity: breadths of its evidence and their weighted sum.
+
+    One pass over the items and one exchange: languages are counted, and what is only asked for its presence (markets,
+    kinds of source, years, kinds of organisation) is gathered as flags and as bits of years.
+    """
+    lo = V.YEARS[0]
+    bits = F.aggregate(T.years(F.col("t")), F.lit(0), lambda m, y: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), y.cast("int") - lo)))
+    d = items.withColumn("_d", U.domain(F.col("u"))).withColumn("_l", U.source_language(F.col("_d"), F.col("t"))).withColumn("_s", U.source_type(F.col("_d"))).withColumn("_y", bits)
+    flag = lambda c: F.max(c.cast("int"))
+    per = d.groupBy("entity").agg(
+        F.count("*").cast("double").alias("_n"),
+        *[F.count_if(F.col("_l") == x).alias(f"_l_{x}") for x in COVERAGE_LANGS],
+        *[flag(T.any_of(F.col("t"), ws, "folded")).alias(f"_m_{i}") for i, ws in enumerate(V.MARKETS.values())],
+        *[flag(F.col("_s") == x).alias(f"_s_{x}") for x in SOURCES],
+        *[flag(T.any_of(F.col("t"), ws, "bounded")).alias(f"_o_{i}") for i, ws in enumerate(V.ORGANISATIONS.values())],
+        F.bit_or("_y").alias("_y"),
+    )
+    total = lambda p, ks: reduce(lambda a, b: a + b, [F.col(f"{p}{k}") for k in ks])
+    shares = [F.col(f"_l_{x}") / F.col("_n") for x in COVERAGE_LANGS]
+    h = reduce(lambda a, b: a + b, [F.when(p > 0, -p * F.ln(p)).otherwise(0.0) for p in shares])
+    n_years = per.agg(F.greatest(F.bit_count(F.bit_or("_y")), F.lit(1)).alias("_ny"))
+    out = per.join(F.broadcast(n_years)).select(
+        "entity",
+        (h / math.log(n_languages) if n_languages > 1 else F.lit(0.0)).alias("language"),
+        (total("_m_", range(len(V.MARKETS))) / float(len(V.MARKETS))).alias("market"),
+        (total("_s_", SOURCES) / float(len(SOURCES))).alias("source"),
+        (F.bit_count("_y") / F.col("_ny")).alias("time"),
+        (total("_o_", range(len(V.ORGANISATIONS))) / float(len(V.ORGANISATIONS))).alias("entity_kinds"),
+    )
     w = V.COVERAGE_WEIGHTS
     return out.withColumn("coverage", w["language"] * F.col("language") + w["market"] * F.col("market") + w["source"] * F.col("source") + w["time"] * F.col("time") + w["entity"] * F.col("entity_kinds"))
 

@@ -443,7 +443,8 @@ def rank_sum(spark, d):
 
 def _fitted(spark, d, k, seed, rounds):
     docs, _ = TP.words_of(bullets(spark, d))
-    counted, vec = TP.vectorize(docs)
+    counted, vec = TP.vectorize(docs.persist())
+    counted = counted.persist()  # read once a round
     return TP.fit_topics(counted, k, seed, rounds), counted, vec.vocabulary
 
 
@@ -470,6 +471,7 @@ def lda_entity_factors(spark, d):
 def lda_grid(spark, d):
     """Numbers of topics by four measures, on a small grid."""
     docs, _ = TP.words_of(bullets(spark, d))
+    docs = docs.persist()
     counted, vec = TP.vectorize(docs)
     counted = counted.persist()
     rows = []

@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than can run at once, as a single small file is, dealt out to all of them.
+
+    For work on rows that costs more than sending them once. Large tables have more tasks and are left as they are.
+    """
+    n = cores(scan.sparkSession)
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

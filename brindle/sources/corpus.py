@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import round_key
-from ..runtime import table
+from ..runtime import spread, table
 
 ITEM = "array<struct<t:string,u:string>>"
 CORPUS = f"entity string, fanclub string, category string, loyalty {ITEM}, spillover {ITEM}"
@@ -140,5 +140,5 @@ def flatten(corpus: DataFrame) -> DataFrame:
 
 def bullets(spark: SparkSession, d: str) -> DataFrame:
     """The item table at hand, with null text and address as empty."""
-    b = table(spark, d, "fandoms_v3_100")
+    b = spread(table(spark, d, "fandoms_v3_100"))
     return b.select("bullet_id", "entity", "category", "kind", "idx", F.coalesce("t", F.lit("")).alias("t"), F.coalesce("u", F.lit("")).alias("u"), "lang", "added_round", "added_at")
