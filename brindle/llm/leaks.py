@@ -146,7 +146,8 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
                     if n:
                         hit[3].add((p - q, x + start, n))
                         hit[:3] = max(hit[0], n), min(hit[1], p - q), max(hit[2], p - q)
-            todo = [(r, item, *hit[:3]) for (r, item), hit in found.items() if hit[0]]
+            # what is to be aligned shares at least a leak's length in all; less can't reach EDITED
+            todo = [(r, item, *hit[:3]) for (r, item), hit in found.items() if sum(n for _, _, n in hit[3]) >= runs[item]]
             pairs = []
             for r, item, _, lo, hi in todo:  # the stretch of the document that the item may cover
                 n = len(texts[item])
