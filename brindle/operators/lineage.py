@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import round_key, short_hash
+from .stats import average_rank, corr
 
 
 def growth(log: DataFrame) -> DataFrame:
@@ -72,10 +73,8 @@ def roster(live: DataFrame, swaps: DataFrame) -> DataFrame:
 
 def compare_scores(a: DataFrame, b: DataFrame, k: int = 15) -> DataFrame:
     """One row (n, r, rank_rho, top_overlap) of two tables (entity, score) over their common entities."""
-    from .stats import average_rank
-
     j = a.select("entity", F.col("score").alias("x")).join(b.select("entity", F.col("score").alias("y")), "entity")
-    r = average_rank(average_rank(j, "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rank_rho"))
+    r = average_rank(average_rank(j, "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), corr("x", "y").alias("r"), corr("rx", "ry").alias("rank_rho"))
     top = lambda c: j.orderBy(F.desc(c), "entity").limit(k).select("entity")
     both = top("x").join(top("y"), "entity").agg(F.count("*").alias("top_overlap"))
     return r.join(F.broadcast(both))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import corr
+
 
 def hash_place(n, *key):
     """A number from 0 to n-1 by a hash of the key columns."""
@@ -22,14 +24,14 @@ def bootstrap(spark: SparkSession, entities: DataFrame, reps: int, seed: int = 0
 
 def bootstrap_r(spark: SparkSession, entities: DataFrame, x: str, y: str, reps: int = 2000, seed: int = 0) -> DataFrame:
     """One row (mean_r, lo, hi) of the correlation over bootstrap draws."""
-    r = bootstrap(spark, entities, reps, seed).groupBy("rep").agg(F.corr(x, y).alias("r"))
+    r = bootstrap(spark, entities, reps, seed).groupBy("rep").agg(corr(x, y).alias("r"))
     p = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
     return r.agg(F.avg("r").alias("mean_r"), F.get(p, F.lit(0)).alias("lo"), F.get(p, F.lit(1)).alias("hi"))
 
 
 def paired_difference(spark: SparkSession, both: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int = 2000, seed: int = 0) -> DataFrame:
     """One row (mean, lo, hi) of the difference of two correlations over the same draws of common entities."""
-    r = bootstrap(spark, both, reps, seed).groupBy("rep").agg((F.corr(*a) - F.corr(*b)).alias("d"))
+    r = bootstrap(spark, both, reps, seed).groupBy("rep").agg((corr(*a) - corr(*b)).alias("d"))
     p = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     return r.agg(F.avg("d").alias("mean"), F.get(p, F.lit(0)).alias("lo"), F.get(p, F.lit(1)).alias("hi"))
 

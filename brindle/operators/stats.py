@@ -67,9 +67,17 @@ def normal_quantile(p: float) -> float:
 # --- on tables ---
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """The correlation as an aggregate; null, not an error, where a column doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(sx * sy, F.lit(0.0))
+
+
 def pearson(df: DataFrame, x: str, y: str, z: float = 1.959964) -> DataFrame:
     """One row (n, r, r2, t, lo, hi): correlation and its Fisher interval."""
-    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), corr(x, y).alias("r"))
     half = F.lit(z) / F.sqrt(F.nullif(F.col("n") - 3, F.lit(0)).cast("double"))
     return s.select("n", "r", (F.col("r") * F.col("r")).alias("r2"), (F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))).alias("t"), F.tanh(F.atanh("r") - half).alias("lo"), F.tanh(F.atanh("r") + half).alias("hi"))
 
@@ -83,7 +91,7 @@ def average_rank(df: DataFrame, col: str, name: str, descending: bool = False) -
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    return average_rank(average_rank(df.select(x, y), x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"))
+    return average_rank(average_rank(df.select(x, y), x, "_rx"), y, "_ry").agg(corr("_rx", "_ry").alias("rho"))
 
 
 def ols1(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -120,7 +128,7 @@ def cooks(df: DataFrame, key: str, y: str, x: str) -> DataFrame:
 
 def leave_one_out(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, r_without, delta): the correlation without each row, from the global sums less the row's own."""
-    s = df.agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"), F.corr(x, y).alias("r"))
+    s = df.agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"), corr(x, y).alias("r"))
     j = df.select(key, x, y).join(F.broadcast(s))
     dx, dy, n = F.col(x) - F.col("mx"), F.col(y) - F.col("my"), F.col("n")
     k = n / (n - 1)  # a row's removal lowers a centred sum of products by its own product times n/(n-1)
@@ -144,7 +152,7 @@ def contingency(df: DataFrame, x: Column, y: Column) -> DataFrame:
 
 
 def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    s = df.agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
+    s = df.agg(corr(x, y).alias("xy"), corr(x, z).alias("xz"), corr(y, z).alias("yz"))
     return s.select(((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.pow("xz", 2)) * (1 - F.pow("yz", 2)))).alias("partial_r"))
 
 

@@ -1,3 +1,3 @@
 """Queries of the engine: importing this package registers them."""
 
-from . import entity_queries, text_queries  # noqa: F401
+from . import compare_queries, entity_queries, text_queries  # noqa: F401

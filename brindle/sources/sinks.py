@@ -48,3 +48,12 @@ def append_once(df: DataFrame, path: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     df.write.mode("append").parquet(path)
+
+
+def markdown(df: DataFrame, most: int = 200, places: int = 4) -> str:
+    """A small table as Markdown; more than `most` rows are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; a report takes a summary")
+    cell = lambda v: "" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
