@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from brindle.llm import forms, increments, languages, leaks, lookalikes, mixing, multiset, neardup, sentences, terms
 
 LONG = "The money went to Torbe within 12 days. " * 4000
@@ -365,3 +367,26 @@ def test_empty_tables(corpus):
     none = corpus.limit(0)
     for df in (lookalikes.same_looking_pairs(none), lookalikes.canonical(none), multiset.copies(none), multiset.copy_pairs(none), neardup.alike_pairs(none), neardup.classes(none), terms.frequencies(none, "t"), languages.stretches(none)):
         assert df.count() == 0
+
+
+def test_rows_of_nothing_but_nulls(spark, corpus):
+    """A row that is null in every column, twice, changes no other row's result and crashes nothing."""
+    null = spark.createDataFrame([(None,) * 5] * 2, corpus.schema)
+    few = corpus.where("bullet_id < 60")
+    both = few.unionByName(null)
+    same = lambda f, *cols: sorted(map(str, f(few).select(*cols).collect())) == sorted(map(str, f(both).where(f"{cols[0]} is not null").select(*cols).collect()))
+    assert same(lookalikes.same_looking_pairs, "bullet_id_a", "bullet_id_b")
+    assert same(lookalikes.canonical, "bullet_id", "canonical")
+    assert same(multiset.copy_pairs, "keep_id", "bullet_id") and multiset.copies(both).count() >= multiset.copies(few).count()
+    assert same(neardup.alike_pairs, "bullet_id_a", "bullet_id_b") and same(neardup.classes, "bullet_id", "class_id")
+    assert same(lambda d: terms.frequencies(d, "t"), "term", "records")
+    assert same(lambda d: languages.stretches(d, model=languages.fit([("the money went to the hall", "en"), ("el dinero", "es")])), "bullet_id", "lang")
+    docs = both.select(F.col("bullet_id").alias("doc_id"), F.col("t").alias("text"), "lang", F.lit("s").alias("source"), F.lit("x").alias("doc_type"))
+    assert sentences.sentence_units(docs).where("doc_id is null").count() == 0
+    items = spark.createDataFrame([(1, LONG[:300], "en"), (None, None, None), (2, None, "en"), (None, LONG[:200], None)], "item_id long, passage string, lang string")
+    assert {r["item_id"] for r in leaks.leaks(docs, items).collect()} <= {1}
+    cand = spark.createDataFrame([(1, "E", "x", "y", None), (None, None, None, None, None), (2, None, None, None, "r")], "cand_id long, fandom string, t string, u string, reason string")
+    assert {r["cand_id"]: r["verdict"] for r in increments.verdicts(both, cand).collect()}[1] == "new"
+    if __import__("os").path.exists(mixing.TOKENIZER):
+        targets = spark.createDataFrame([("m", "s", 1.0, 2), (None, None, None, None), ("m", "t", None, None)], "mix_name string, source string, target_share double, max_repeats int")
+        assert mixing.mixtures(docs, targets).where("doc_id is null").count() == 0 and mixing.shares(docs, targets).count() == 2
