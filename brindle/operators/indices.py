@@ -46,6 +46,18 @@ def counts_by_tag(items: DataFrame, hits: DataFrame, tags: list[str]) -> DataFra
     return out.withColumn("share", F.col("n_hit") / F.col("n_total"))
 
 
+def tag_counts(items: DataFrame, tags: dict[str, list[str]], mode: str = "literal") -> DataFrame:
+    """The same columns as counts_by_tag(), for tags that depend on the text alone: one pass over the items, one exchange."""
+    names = list(tags)
+    flagged = items.select("entity", *[T.any_of(F.col("t"), ws, mode).alias(f"_{i}") for i, ws in enumerate(tags.values())])
+    n = flagged.groupBy("entity").agg(F.count("*").alias("n_total"), F.count_if(F.greatest(*[F.col(f"_{i}") for i in range(len(names))])).alias("n_hit"), *[F.count_if(F.col(f"_{i}")).alias(x) for i, x in enumerate(names)])
+    top = F.greatest(*names)
+    first = F.when(top == 0, None)
+    for x in names:
+        first = first.when(F.col(x) == top, x)
+    return n.withColumn("top_tag", first).withColumn("share", F.col("n_hit") / F.col("n_total"))
+
+
 def region_hits(items: DataFrame, regions: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each item and region named in it."""
     return tag_hits(items, regions or V.REGIONS).withColumnRenamed("tag", "region")

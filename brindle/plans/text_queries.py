@@ -228,8 +228,7 @@ _TAGS = list(THEMES)
     f"SELECT entity, n_total, coalesce(n_hit, 0) AS n_hit, {', '.join(f'coalesce({x}, 0) AS {x}' for x in _TAGS)}, tag AS top_tag, round(coalesce(n_hit, 0) / n_total, 6) AS share FROM t LEFT JOIN h USING (entity) LEFT JOIN top USING (entity)",
 )
 def tag_index(spark, d):
-    b = bullets(spark, d)
-    return I.counts_by_tag(b, S.tag_hits(b, THEMES), _TAGS).withColumn("share", F.round("share", 6))
+    return I.tag_counts(bullets(spark, d), THEMES).withColumn("share", F.round("share", 6))
 
 
 _SIGNALS, _NEG = ["관광객", "tourists", "수익금"], ["측은", "7일"]

@@ -490,3 +490,11 @@ def test_windows_by_stream_and_batch(spark, tmp_path):
     q = rounds.windowed(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "events1.parquet"))).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert src.isStreaming and sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, rounds.windowed(ev).collect()))
+
+
+def test_tag_counts_in_one_pass_equal_those_of_hits(spark):
+    df = spark.createDataFrame([(i, "AB"[i % 2], "c", "loyalty", i, t, "") for i, t in enumerate(["x y", "y", "z", "", "x", "q"])], ITEM)
+    tags = {"p": ["y"], "q": ["x"], "r": ["none"]}
+    a = indices.tag_counts(df, tags).orderBy("entity")
+    b = indices.counts_by_tag(df, scoring.tag_hits(df, tags), list(tags)).select(a.columns).orderBy("entity")
+    assert a.collect() == b.collect()
