@@ -129,6 +129,11 @@ def hits(t: Column, words: list[str], mode: str = "literal") -> Column:
 
 def any_of(t: Column, words: list[str], mode: str = "literal") -> Column:
     out = F.lit(False)
+    if mode == "bounded":  # one pattern for all words that need one
+        plain = [w for w in words if re.fullmatch("[A-Za-z]+", w)]
+        words = [w for w in words if w not in plain]
+        if plain:
+            out = t.rlike("(?iU)\\b(?:" + "|".join(plain) + ")\\b")
     for w in words:
         out = out | has(t, w, mode)
     return out

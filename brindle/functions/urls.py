@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values as V
-from .text import KANA, HAN, HANGUL, THAI, array, find_all
+from .text import HAN, HANGUL, KANA, THAI, find_all
 
 
 def domain(u: Column) -> Column:
@@ -29,8 +29,14 @@ def cut_leak(u: Column) -> Column:
 
 
 def in_hosts(d: Column, hosts: list[str]) -> Column:
-    """Whether a host is one of the list or below one."""
-    return F.exists(array(hosts), lambda x: (d == x) | d.endswith(F.concat(F.lit("."), x)))
+    """Whether a host is one of the list or below one: its last labels, as many as a host of the list has, are that host."""
+    by_labels: dict[int, list[str]] = {}
+    for h in hosts:
+        by_labels.setdefault(h.count(".") + 1, []).append(h)
+    out = F.lit(False)
+    for n, own in by_labels.items():
+        out = out | F.substring_index(d, ".", -n).isin(*own)
+    return out
 
 
 def source_type(d: Column) -> Column:

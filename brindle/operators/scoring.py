@@ -86,12 +86,12 @@ def coverage(items: DataFrame, n_languages: int = len(COVERAGE_LANGS)) -> DataFr
     """
     lo = V.YEARS[0]
     bits = F.aggregate(T.years(F.col("t")), F.lit(0), lambda m, y: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), y.cast("int") - lo)))
-    d = items.withColumn("_d", U.domain(F.col("u"))).withColumn("_l", U.source_language(F.col("_d"), F.col("t"))).withColumn("_s", U.source_type(F.col("_d"))).withColumn("_y", bits)
+    d = items.withColumn("_d", U.domain(F.col("u"))).withColumn("_l", U.source_language(F.col("_d"), F.col("t"))).withColumn("_s", U.source_type(F.col("_d"))).withColumn("_y", bits).withColumn("_low", F.lower("t"))
     flag = lambda c: F.max(c.cast("int"))
     per = d.groupBy("entity").agg(
         F.count("*").cast("double").alias("_n"),
         *[F.count_if(F.col("_l") == x).alias(f"_l_{x}") for x in COVERAGE_LANGS],
-        *[flag(T.any_of(F.col("t"), ws, "folded")).alias(f"_m_{i}") for i, ws in enumerate(V.MARKETS.values())],
+        *[flag(T.any_of(F.col("_low"), [w.lower() for w in ws])).alias(f"_m_{i}") for i, ws in enumerate(V.MARKETS.values())],
         *[flag(F.col("_s") == x).alias(f"_s_{x}") for x in SOURCES],
         *[flag(T.any_of(F.col("t"), ws, "bounded")).alias(f"_o_{i}") for i, ws in enumerate(V.ORGANISATIONS.values())],
         F.bit_or("_y").alias("_y"),

@@ -15,7 +15,7 @@ from ..operators import lineage as L
 from ..operators import scoring as S
 from ..operators import stats as ST
 from ..operators import tables as R
-from ..runtime import table
+from ..runtime import keep, table
 from ..sources.corpus import bullets
 from .base import CODE, FACTORS, ITEMS, SCORED, SCORES, THEME_HITS, THEMES, lower, strings
 from .entity_queries import r6, scores
@@ -73,7 +73,7 @@ def factor_correlation(spark, d):
 
 @query("definition_comparison", f"{SCORES}, q AS (SELECT entity, loyalty_score AS x, activity::DOUBLE AS n, loyalty_raw / nullif(n_loyalty, 0) AS density, spillover_score AS spill FROM n), k AS (" + " UNION ALL ".join(f"SELECT '{c}' AS definition, corr(y, n) AS r_count, corr(rx, ry) AS rho, count(*) FILTER (tx <= 15 AND ty <= 15) AS top_overlap FROM (SELECT *, {c} AS y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS ry, row_number() OVER (ORDER BY x DESC, entity) AS tx, row_number() OVER (ORDER BY {c} DESC, entity) AS ty FROM q WHERE x IS NOT NULL AND {c} IS NOT NULL)" for c in ("density", "spill")) + ") SELECT definition, round(r_count, 6) AS r_count, round(rho, 6) AS rho, top_overlap FROM k")
 def definition_comparison(spark, d):
-    n = scores(spark, d).withColumn("density", F.col("loyalty_raw") / F.nullif(F.col("n_loyalty"), F.lit(0))).withColumnRenamed("spillover_score", "spill")
+    n = keep(scores(spark, d), "scores").withColumn("density", F.col("loyalty_raw") / F.nullif(F.col("n_loyalty"), F.lit(0))).withColumnRenamed("spillover_score", "spill")
     return r6(CP.definitions(n, "loyalty_score", "density", "spill", count="activity"), "r_count", "rho")
 
 

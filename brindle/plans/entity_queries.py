@@ -18,7 +18,7 @@ from ..operators import scoring as S
 from ..operators import stats as ST
 from ..operators import tables as R
 from ..operators import topics as TP
-from ..runtime import table
+from ..runtime import keep, table
 from ..sources.corpus import bullets
 from ..streaming import rounds
 from .base import DOMAIN, FACTORS, ITEMS, SCORED, SCORES, SHARES, THEME_HITS, THEMES, any_word, lower, strings
@@ -90,7 +90,7 @@ def coverage(spark, d):
 @query("index_card", f"{SCORES}, {_COVERAGE} SELECT entity, loyalty_raw, spillover_raw, activity, round(loyalty_score, 6) AS loyalty_score, round(spillover_score, 6) AS spillover_score, {_QUAD} AS quadrant, round(coverage::DOUBLE, 6) AS coverage FROM n JOIN cv USING (entity)")
 def index_card(spark, d):
     """The flagship: raw and scaled scores, quadrant and coverage of every entity."""
-    n = scores(spark, d)
+    n = keep(scores(spark, d), "scores")  # a row an entity, used three times
     c = S.coverage(bullets(spark, d)).select("entity", "coverage")
     out = n.join(S.quadrants(n), "entity").join(c, "entity")
     return r6(out.select("entity", "loyalty_raw", "spillover_raw", "activity", "loyalty_score", "spillover_score", "quadrant", "coverage"), "loyalty_score", "spillover_score", "coverage")
@@ -514,7 +514,7 @@ def profile_map(spark, d):
 @query("robust_slopes")
 def robust_slopes(spark, d):
     """Slopes of spillover on loyalty and activity by least squares, Huber, medians, and without influential entities; whether all agree in sign."""
-    n = scores(spark, d)
+    n = keep(scores(spark, d), "scores")
     trimmed = n.join(ST.cooks(n, "entity", "spillover_score", "loyalty_score").where("influential").select("entity"), "entity", "left_anti")
     y, x = ST.design(n, "spillover_score", ["loyalty_score", "activity"])
     yt, xt = ST.design(trimmed, "spillover_score", ["loyalty_score", "activity"])
