@@ -27,6 +27,8 @@ RARE, RARE_SHARE = 20, 1 / 5000
 BLOCK_SEEDS = 1_000_000
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -2
+#: How far an alignment may drift from the places at which seeds were met.
+BAND = 48
 #: The least share of the best possible score at which an alignment without a long shared run is reported.
 EDITED = 0.5
 _BITS = 22
@@ -101,27 +103,38 @@ def shared_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     return i - back + 1, max(0, back + on - 1)
 
 
-def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The best local alignment score of each pair (short, long), with linear gaps; many pairs at a time."""
+def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """The best local alignment score of each pair (a, b), with linear gaps; many pairs at a time.
+
+    A band (lo, hi) holds the alignment to places j in b and i in a with lo <= j - i <= hi; without bands all are free.
+    """
     best = np.zeros(len(pairs), np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
-    for lo in range(0, len(order), 64):
-        part = order[lo : lo + 64]
-        n, m = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
+    bands = bands or [(1 - len(a), len(b) - 1) for a, b in pairs]
+    order = sorted(range(len(pairs)), key=lambda i: (bands[i][1] - bands[i][0]) * len(pairs[i][0]))
+    for at in range(0, len(order), 64):
+        part = order[at : at + 64]
+        n, w = max(len(pairs[i][0]) for i in part), max(bands[i][1] - bands[i][0] + 1 for i in part)
         a = np.full((len(part), n), 0x7FFFFFFF, np.uint32)
-        b = np.full((len(part), m), 0x7FFFFFFE, np.uint32)
+        b = np.full((len(part), n + w), 0x7FFFFFFE, np.uint32)
         for r, i in enumerate(part):
-            a[r, : len(pairs[i][0])], b[r, : len(pairs[i][1])] = pairs[i]
-        step = np.arange(m, dtype=np.int32) * GAP
-        h = np.zeros((len(part), m + 1), np.int32)
+            x, y = pairs[i]
+            lo, hi = bands[i]
+            a[r, : len(x)] = x
+            first, last = max(lo, 0), min(len(x) + hi, len(y))
+            if last > first:
+                b[r, first - lo : last - lo] = y[first:last]
+        step = np.arange(w, dtype=np.int32) * GAP
+        h = np.zeros((len(part), w + 1), np.int32)  # by j - i - lo: the diagonal stays in place, the row above is one to the right
         top = np.zeros(len(part), np.int32)
         for c in range(n):
-            d = h[:, :-1] + np.where(b == a[:, c : c + 1], np.int32(MATCH), np.int32(MISMATCH))
+            d = h[:, :-1] + np.where(b[:, c : c + w] == a[:, c : c + 1], np.int32(MATCH), np.int32(MISMATCH))
             np.maximum(d, h[:, 1:] + GAP, out=d)
             np.maximum(d, 0, out=d)
-            d = np.maximum.accumulate(d - step, axis=1) + step  # gaps along the long text
+            d -= step
+            np.maximum.accumulate(d, axis=1, out=d)  # gaps along b
+            d += step
             np.maximum(top, d.max(1), out=top)
-            h[:, 1:] = d
+            h[:, :-1] = d
         best[part] = top
     return best
 
@@ -139,20 +152,28 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
                 where, which = s.hits(g, bits)
                 for r, p, item, q in zip(row[where].tolist(), at[where].tolist(), s.item[which].tolist(), s.at[which].tolist()):
                     start = int(bare.starts[r])
-                    hit = found.setdefault((r, item), [0, p - q, p - q, set()])
-                    if any(d == p - q and x <= p < x + n for d, x, n in hit[3]):
+                    hit = found.setdefault((r, item), [0, set()])
+                    if any(d == p - q and x <= p < x + n for d, x, n in hit[1]):
                         continue  # inside a run that is known
                     x, n = shared_run(bare.arr[start : int(ends[r])], p - start, texts[item], q)
                     if n:
-                        hit[3].add((p - q, x + start, n))
-                        hit[:3] = max(hit[0], n), min(hit[1], p - q), max(hit[2], p - q)
+                        hit[1].add((p - q, x + start, n))
+                        hit[0] = max(hit[0], n)
             # what is to be aligned shares at least a leak's length in all; less can't reach EDITED
-            todo = [(r, item, *hit[:3]) for (r, item), hit in found.items() if sum(n for _, _, n in hit[3]) >= runs[item]]
-            pairs = []
-            for r, item, _, lo, hi in todo:  # the stretch of the document that the item may cover
-                n = len(texts[item])
-                pairs.append((texts[item], bare.arr[max(int(bare.starts[r]), lo - n // 4) : min(int(ends[r]), hi + n + n // 4)]))
-            score = smith_waterman(pairs)
+            todo = [(r, item, hit[0]) for (r, item), hit in found.items() if sum(n for _, _, n in hit[1]) >= runs[item]]
+            pairs, bands, owner = [], [], []
+            for k, (r, item, _) in enumerate(todo):
+                start, last = int(bare.starts[r]), None
+                for d in sorted({d - start for d, _, _ in found[r, item][1]}):  # one band for shared runs that an alignment can join
+                    if last is not None and d - last <= BAND:
+                        bands[-1] = (bands[-1][0], d + BAND)
+                    else:
+                        pairs.append((texts[item], bare.arr[start : int(ends[r])]))
+                        bands.append((d - BAND, d + BAND))
+                        owner.append(k)
+                    last = d
+            score = np.zeros(len(todo), np.int64)
+            np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
             share = [float(x) / (MATCH * len(texts[t[1]])) for x, t in zip(score, todo)]
             ok = [i for i, t in enumerate(todo) if t[2] >= runs[t[1]] or share[i] >= EDITED]
             cols = [
