@@ -390,3 +390,29 @@ def test_rows_of_nothing_but_nulls(spark, corpus):
     if __import__("os").path.exists(mixing.TOKENIZER):
         targets = spark.createDataFrame([("m", "s", 1.0, 2), (None, None, None, None), ("m", "t", None, None)], "mix_name string, source string, target_share double, max_repeats int")
         assert mixing.mixtures(docs, targets).where("doc_id is null").count() == 0 and mixing.shares(docs, targets).count() == 2
+
+
+def template(n, size, slots, width, seed):
+    """n texts of `size` bare characters that differ in `slots` stretches of `width`; short of that they are equal."""
+    rnd = random.Random(seed)
+    draw = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    base = draw(size)
+    out = set()
+    while len(out) < n:
+        t = base
+        for at in slots:
+            t = t[:at] + draw(width) + t[at + width :]
+        out.add(t)
+    return sorted(out)
+
+
+def test_a_large_group_of_near_duplicates(spark):
+    """More texts than a run may have to be uncommon; each pair is alike, and the runs that are uncommon differ."""
+    texts = template(1300, 60, (12, 40), 4, 5)
+    tri = [forms.trigrams(t) for t in texts]
+    want = {(a, b) for a in range(0, 1300, 13) for b in range(1300) if a != b and forms.alike_share(tri[a], tri[b]) >= neardup.THRESHOLD}
+    df = spark.createDataFrame(list(enumerate(texts)), "bullet_id long, t string")
+    found = neardup.alike_pairs(df)
+    some = found.where("bullet_id_a % 13 = 0 or bullet_id_b % 13 = 0").collect()
+    got = {p for r in some for p in ((r[0], r[1]), (r[1], r[0])) if p[0] % 13 == 0}
+    assert len(want) > 100_000 and got <= want and len(got) >= 0.995 * len(want)
