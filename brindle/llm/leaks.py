@@ -21,8 +21,6 @@ from .io import arrow_map, plain, slices
 #: The shortest shared run that is a leak, in bare characters, and that for languages without blanks between words.
 RUN, RUN_DENSE, DENSE = 60, 30, ("ja", "zh")
 SEED, SEED_DENSE = 20, 12
-#: A seed is rare if it occurs up to so many times, or once in so many documents.
-RARE, RARE_SHARE = 20, 1 / 5000
 #: Seeds that are sent to the tasks at once; more items are scanned for in blocks.
 BLOCK_SEEDS = 1_000_000
 #: Scores of the alignment.
@@ -72,11 +70,10 @@ def item_grams(texts: list[np.ndarray], dense: list[bool]) -> list[Seeds]:
     return out
 
 
-def choose(seeds: Seeds, count: np.ndarray, rare: float, run: int) -> Seeds:
+def choose(seeds: Seeds, count: np.ndarray, run: int) -> Seeds:
     """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter).
 
-    A stretch that the corpus holds has no seed that doesn't occur. Of the other stretches seeds are used that are
-    rare, which find edited copies.
+    A stretch that the corpus holds has no seed that doesn't occur; the seeds of the other stretches, however common, find edited copies.
     """
     keep = np.zeros(len(seeds.hashes), bool)
     never = np.iinfo(np.int64).max
@@ -87,8 +84,7 @@ def choose(seeds: Seeds, count: np.ndarray, rare: float, run: int) -> Seeds:
         c = count[part]
         view = np.lib.stride_tricks.sliding_window_view(c, w)
         best = view.argmin(1) + np.arange(len(view))
-        use = (c[best] < never) & ((view.max(1) < never) | (c[best] <= rare))
-        keep[part[np.unique(best[use])]] = True
+        keep[part[np.unique(best[c[best] < never])]] = True
     return Seeds(seeds.width, seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
 
 
@@ -146,9 +142,17 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
             keys = b.column(0).to_pylist()
             bare = Bare(b.column(1).to_pylist())
             ends = bare.ends
+            same: dict[bytes, list[int]] = {}  # rows of equal bare text are looked at once
+            for r in range(len(keys)):
+                same.setdefault(bare.arr[int(bare.starts[r]) : int(ends[r])].tobytes(), []).append(r)
+            rows = {x[0]: x for x in same.values()}
+            first = np.zeros(len(keys), bool)
+            first[list(rows)] = True
             found: dict[tuple[int, int], list] = {}
             for s, bits in zip(seeds, maps):
                 g, row, at = grams(bare.arr, bare.starts, bare.lens, s.width)
+                own = first[row]
+                g, row, at = g[own], row[own], at[own]
                 where, which = s.hits(g, bits)
                 for r, p, item, q in zip(row[where].tolist(), at[where].tolist(), s.item[which].tolist(), s.at[which].tolist()):
                     start = int(bare.starts[r])
@@ -159,8 +163,8 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
                     if n:
                         hit[1].add((p - q, x + start, n))
                         hit[0] = max(hit[0], n)
-            # what is to be aligned shares at least a leak's length in all; less can't reach EDITED
-            todo = [(r, item, hit[0]) for (r, item), hit in found.items() if sum(n for _, _, n in hit[1]) >= runs[item]]
+            # an alignment scores MATCH for each character of the document at most; shorter ones can't reach EDITED
+            todo = [(r, item, hit[0]) for (r, item), hit in found.items() if hit[0] >= runs[item] or bare.lens[r] >= EDITED * len(texts[item])]
             pairs, bands, owner = [], [], []
             for k, (r, item, _) in enumerate(todo):
                 start, last = int(bare.starts[r]), None
@@ -175,13 +179,13 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
             score = np.zeros(len(todo), np.int64)
             np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
             share = [float(x) / (MATCH * len(texts[t[1]])) for x, t in zip(score, todo)]
-            ok = [i for i, t in enumerate(todo) if t[2] >= runs[t[1]] or share[i] >= EDITED]
+            ok = [(r, i) for i, t in enumerate(todo) if t[2] >= runs[t[1]] or share[i] >= EDITED for r in rows[t[0]]]
             cols = [
-                pa.array([keys[todo[i][0]] for i in ok], pa.int64()),
-                pa.array([ids[todo[i][1]] for i in ok], pa.int64()),
-                pa.array([todo[i][2] for i in ok], pa.int32()),
-                pa.array([todo[i][2] >= runs[todo[i][1]] for i in ok], pa.bool_()),
-                pa.array([share[i] for i in ok], pa.float64()),
+                pa.array([keys[r] for r, _ in ok], pa.int64()),
+                pa.array([ids[todo[i][1]] for _, i in ok], pa.int64()),
+                pa.array([todo[i][2] for _, i in ok], pa.int32()),
+                pa.array([todo[i][2] >= runs[todo[i][1]] for _, i in ok], pa.bool_()),
+                pa.array([share[i] for _, i in ok], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "item", "run", "leaked", "share"])
 
@@ -223,7 +227,6 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     documents or no items the result is empty.
     """
     src = plain(docs, k=doc, t=text)
-    rare = max(RARE, src.count() * RARE_SHARE)
     out = None
     block: list = []
     size = 0
@@ -233,7 +236,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
         texts = [Bare([r[1]]).arr for r in block]
         every = item_grams(texts, langs)
         runs = [RUN_DENSE if d else RUN for d in langs]
-        chosen = [choose(s, n, rare, RUN if s.width == SEED else RUN_DENSE) for s, n in zip(every, _count(src, every))]
+        chosen = [choose(s, n, RUN if s.width == SEED else RUN_DENSE) for s, n in zip(every, _count(src, every))]
         return _scan(src, chosen, ids, texts, runs)
 
     for r in plain(items, i=item, p=passage, l=lang).distinct().toLocalIterator():  # the items pass the driver block by block

@@ -416,3 +416,24 @@ def test_a_large_group_of_near_duplicates(spark):
     some = found.where("bullet_id_a % 13 = 0 or bullet_id_b % 13 = 0").collect()
     got = {p for r in some for p in ((r[0], r[1]), (r[1], r[0])) if p[0] % 13 == 0}
     assert len(want) > 100_000 and got <= want and len(got) >= 0.995 * len(want)
+
+
+def test_leaks_edited_into_short_runs(spark):
+    """Shared runs that add up to less than a leak, some shorter than a seed; and an edited copy that sits in many documents."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+
+    def cut(t, lens):
+        at, out = 0, ""
+        for n in lens:
+            out, at = out + t[at : at + n] + "z", at + n + 1
+        return out + t[at:]
+
+    one, two, three = text(99), text(51), text(200)
+    docs = [(1, text(50) + cut(one, (25, 15, 15, 15, 25)) + text(50)), (2, text(50) + cut(two, (14, 10, 14, 10)) + text(50)), (3, text(300))]
+    docs += [(100 + i, cut(three, (40, 40, 40, 40)) if i % 2 else text(20) + cut(three, (40, 40, 40, 40))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(1, one, "en"), (2, two, "ja"), (3, three, "en")], "item_id long, passage string, lang string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(df, it).collect()}
+    assert set(got) == {(1, 1), (2, 2)} | {(100 + i, 3) for i in range(60)}
+    assert all(not r["leaked"] and r["aligned"] > 0.7 for r in got.values())
