@@ -450,14 +450,14 @@ def _fitted(spark, d, k, seed, rounds):
 
 @query("lda_topics")
 def lda_topics(spark, d):
-    model, _, words = _fitted(spark, d, 8, 0, 10)
+    model, _, words = _fitted(spark, d, 8, 0, 50)
     return TP.phi_long(model, words, spark, 10)
 
 
 @query("lda_entity_factors")
 def lda_entity_factors(spark, d):
     """Topics, clustered by the cosine of their words into factors, and each entity's share of these."""
-    model, counted, _ = _fitted(spark, d, 8, 0, 10)
+    model, counted, _ = _fitted(spark, d, 8, 0, 50)
     phi = model.topicsMatrix().toArray().T
     dist = TP.cosine_distances(phi / phi.sum(1, keepdims=True))
     m, _ = TP.choose_m(dist, range(3, 7))
@@ -469,14 +469,14 @@ def lda_entity_factors(spark, d):
 
 @query("lda_grid")
 def lda_grid(spark, d):
-    """Numbers of topics by four measures, on a small grid."""
+    """Numbers of topics by four measures, on the grid, seeds and iterations of the method."""
     docs, _ = TP.words_of(bullets(spark, d))
     docs = docs.persist()
     counted, vec = TP.vectorize(docs)
     counted = counted.persist()
     rows = []
-    for k in (4, 6):
-        models = [TP.fit_topics(counted, k, seed, 3) for seed in (1, 2)]
+    for k in (8, 10, 12, 15, 20, 25, 30):
+        models = [TP.fit_topics(counted, k, seed) for seed in (1, 2, 3)]
         tops = [TP.top_words(m, vec.vocabulary) for m in models]
         topics = spark.createDataFrame([(t, r + 1, w) for t, ws in enumerate(tops[0]) for r, w in enumerate(ws)], "topic int, rank int, term string")
         coherence = TP.umass(docs, topics).agg(F.avg("coherence")).first()[0]

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import compare, lineage
-from brindle.plans import bundle
+from brindle.operators import compare, lineage, topics
+from brindle.plans import bundle, entity_queries
 from brindle.sources import sinks
 
 
@@ -66,3 +66,24 @@ def test_comparisons(spark):
     assert {x.bullet_id: (x.lang, x.margin) for x in compare.frequency_language(it, fr).collect()} == {1: ("en", 6.0), 2: ("es", 7.0)}
     md = sinks.markdown(spark.createDataFrame([("a|b", 0.12345, None)], "x string, y double, z int"))
     assert md.splitlines()[2] == "| a\\|b | 0.1234 |  |" or md.splitlines()[2] == "| a\\|b | 0.1235 |  |"
+
+
+def test_vocabulary_is_whole_or_refused(spark, docs):
+    assert len(topics.vectorize(docs)[1].vocabulary) == 12
+    with pytest.raises(ValueError):
+        topics.vectorize(docs, most=11)
+
+
+def test_grid_of_topics_is_that_of_the_method(monkeypatch, spark, docs):
+    fits = []
+    real = topics.fit_topics
+
+    def fit(counted, k, seed, rounds=50):
+        fits.append((k, seed, rounds))
+        return real(counted, k, seed, 1)
+
+    monkeypatch.setattr(entity_queries, "bullets", lambda spark, d: None)
+    monkeypatch.setattr(topics, "words_of", lambda items: (docs, None))
+    monkeypatch.setattr(topics, "fit_topics", fit)
+    assert entity_queries.lda_grid(spark, "").count() == 7
+    assert fits == [(k, s, 50) for k in (8, 10, 12, 15, 20, 25, 30) for s in (1, 2, 3)]
