@@ -19,14 +19,15 @@ def by_round(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, (F.col("_ka.n") == F.col("_kb.n")) & (F.col("_ka.suffix") == F.col("_kb.suffix"))).drop("_ka", "_kb")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, key: str, group: str) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, key: str, group: str, other: bool = False) -> DataFrame:
     """(key, match, common): of the word lists of b in the same group the one that shares most words with a list of a, ties to the least key.
 
-    Lists meet by their words, so lists without a common word never do. Inputs: (key, group, words).
+    Lists meet by their words, so lists without a common word never do. With `other` a list isn't matched with the one of its own key. Inputs: (key, group, words).
     """
     x = a.select(group, F.col(key), F.explode(F.array_distinct("words")).alias("w"))
     y = b.select(group, F.col(key).alias("match"), F.explode(F.array_distinct("words")).alias("w"))
-    n = x.join(y, [group, "w"]).groupBy(key, "match").agg(F.count("*").alias("common"))
+    met = x.join(y, [group, "w"])
+    n = (met.where(F.col(key) != F.col("match")) if other else met).groupBy(key, "match").agg(F.count("*").alias("common"))
     return n.groupBy(key).agg(F.min_by("match", F.struct(-F.col("common"), F.col("match"))).alias("match"), F.max("common").alias("common"))
 
 

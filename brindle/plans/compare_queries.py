@@ -46,6 +46,13 @@ def cloud_best_match(spark, d):
     return CP.best_overlap(c.where("cloud_id % 2 = 0"), c.where("cloud_id % 2 = 1"), "cloud_id", "entity")
 
 
+@query("cloud_best_of_all", f"WITH c AS ({_CW}), n AS (SELECT a.cloud_id, o.cloud_id AS m, count(*) AS common FROM c a JOIN c o ON a.entity = o.entity AND a.w = o.w AND a.cloud_id <> o.cloud_id GROUP BY ALL) SELECT cloud_id, first(m ORDER BY common DESC, m) AS match, max(common) AS common FROM n GROUP BY cloud_id")
+def cloud_best_of_all(spark, d):
+    """Of every cloud the other one of the entity that shares most words."""
+    c = _cloud(spark, d)
+    return CP.best_overlap(c, c, "cloud_id", "entity", other=True)
+
+
 @query("growth_correlation", "WITH g AS (SELECT *, nullif(regexp_extract(stage, 'r([0-9]+)', 1), '')::INT AS n FROM growth_history WHERE net_new_bullets IS NOT NULL) SELECT round(corr(after_total, net_new_bullets), 6) AS r, round(last(after_total ORDER BY n) / first(before_total ORDER BY n)::DOUBLE - 1, 6) AS growth FROM g")
 def growth_correlation(spark, d):
     g = table(spark, d, "growth_history").where("net_new_bullets is not null").withColumn("n", T.round_key(F.col("stage"))["n"])

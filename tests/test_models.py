@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.catalog import QUERIES
 from brindle.operators import compare, lineage, topics
-from brindle.plans import bundle, entity_queries
+from brindle.plans import bundle, compare_queries, entity_queries
 from brindle.sources import sinks
 
 
@@ -87,3 +88,10 @@ def test_grid_of_topics_is_that_of_the_method(monkeypatch, spark, docs):
     monkeypatch.setattr(topics, "fit_topics", fit)
     assert entity_queries.lda_grid(spark, "").count() == 7
     assert fits == [(k, s, 50) for k in (8, 10, 12, 15, 20, 25, 30) for s in (1, 2, 3)]
+
+
+def test_best_match_of_every_cloud(monkeypatch, spark):
+    """Every cloud has a row, and one of the same parity may be the best."""
+    rows = [(1, "e", ["a", "b", "c"]), (3, "e", ["a", "b", "d"]), (2, "e", ["a", "x"]), (4, "e", ["z"]), (5, "f", ["a", "b", "c"])]
+    monkeypatch.setattr(compare_queries, "_cloud", lambda spark, d: spark.createDataFrame(rows, "cloud_id long, entity string, words array<string>"))
+    assert sorted(tuple(r) for r in QUERIES["cloud_best_of_all"](spark, "").collect()) == [(1, 3, 2), (2, 1, 1), (3, 1, 2)]
