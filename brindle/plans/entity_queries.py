@@ -528,13 +528,13 @@ def robust_slopes(spark, d):
 
 @query("bootstrap_r")
 def bootstrap_r(spark, d):
-    return RS.bootstrap_r(spark, scores(spark, d).select("entity", "loyalty_score", "spillover_score"), "loyalty_score", "spillover_score", 500)
+    return RS.bootstrap_r(spark, scores(spark, d).select("entity", "loyalty_score", "spillover_score"), "loyalty_score", "spillover_score")
 
 
 @query("bootstrap_difference")
 def bootstrap_difference(spark, d):
     n = scores(spark, d).select("entity", "loyalty_score", "spillover_score", "loyalty_raw", F.col("activity").cast("double").alias("activity"))
-    return RS.paired_difference(spark, n, ("loyalty_score", "spillover_score"), ("loyalty_raw", "activity"), 500)
+    return RS.paired_difference(spark, n, ("loyalty_score", "spillover_score"), ("loyalty_raw", "activity"))
 
 
 @query("reduced_scores")

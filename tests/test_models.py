@@ -95,3 +95,14 @@ def test_best_match_of_every_cloud(monkeypatch, spark):
     rows = [(1, "e", ["a", "b", "c"]), (3, "e", ["a", "b", "d"]), (2, "e", ["a", "x"]), (4, "e", ["z"]), (5, "f", ["a", "b", "c"])]
     monkeypatch.setattr(compare_queries, "_cloud", lambda spark, d: spark.createDataFrame(rows, "cloud_id long, entity string, words array<string>"))
     assert sorted(tuple(r) for r in QUERIES["cloud_best_of_all"](spark, "").collect()) == [(1, 3, 2), (2, 1, 1), (3, 1, 2)]
+
+
+def test_bootstraps_draw_as_often_as_the_method(monkeypatch, spark):
+    """2,000 draws are registered."""
+    reps = []
+    monkeypatch.setattr(entity_queries, "scores", lambda spark, d: spark.createDataFrame([(f"e{i}", i / 9, (i * 7 % 10) / 9, i * 2.0, i) for i in range(10)], "entity string, loyalty_score double, spillover_score double, loyalty_raw double, activity long"))
+    real = entity_queries.RS.bootstrap
+    monkeypatch.setattr(entity_queries.RS, "bootstrap", lambda spark, e, n, seed=0: reps.append(n) or real(spark, e, n, seed))
+    QUERIES["bootstrap_r"](spark, "")
+    QUERIES["bootstrap_difference"](spark, "")
+    assert reps == [2000, 2000]
