@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,39 +47,75 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset a local session gets a folder of its own; on a cluster, whose executors see different disks, it is
+    an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset; the executors of {master} need a folder they share")
         where = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/brindle-{os.getpid()}/{what}-{uuid.uuid4().hex[:12]}"
+    _kept.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it again.
 
     Unlike localCheckpoint the copy outlives any executor, and later readers get column pruning and pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{os.getpid()}/{what}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)
+
+
+def release(*kept: DataFrame) -> None:
+    """Remove tables written by :func:`keep` that nothing reads any more."""
+    for df in kept:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            _kept[:] = [x for x in _kept if x[1] != path]
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def kept_within() -> Iterator[None]:
+    """Within this block :func:`keep` may write tables; they are removed at its end, when its results must have been written."""
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        for spark, path in _kept[before:]:
+            _remove(spark, path)
+        del _kept[before:]
 
 
 def drop_kept() -> None:
-    """Remove the tables written by :func:`keep`; the DataFrames made from them can't be read any more."""
+    """Remove all tables written by :func:`keep`; the DataFrames made from them can't be read any more."""
     while _kept:
-        spark, path = _kept.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended
-            if path.startswith("file://"):
-                import shutil
-
-                shutil.rmtree(path[7:], ignore_errors=True)
+        _remove(*_kept.pop())
 
 
 atexit.register(drop_kept)
