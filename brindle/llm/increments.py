@@ -1,9 +1,11 @@
 """Problem 5: each new batch against everything accepted before, without reprocessing the history.
 
-Every text of the history is cut into segments, stored by fandom and content in a segment index that later batches
-append to. A candidate probes the index with its own substrings; texts that meet are verified by the share of common
-three-character runs. Same pages and equal texts are found by key. What remains between the candidates of the batches
-themselves is settled by a distributed fixpoint over keys, never over all pairs of a group.
+The history lives in a :class:`SegmentIndex` in a folder: the segments of every text (its runs of three characters),
+stored once, by fandom and by length, in blocks of a bounded number of texts, and the keys of its texts and pages. A batch
+reads the parts of its own fandoms and the blocks of possible lengths, is probed with its own segments, and what it
+adds is appended as a generation of its own; nothing stored is normalized, cut or counted again. Two texts are alike
+exactly if they share a guaranteed minimum of segments, so the tally in a block decides, without further
+verification and without leaving any segment out. What candidates of one batch mean to each other is settled over keys.
 """
 
 from __future__ import annotations
@@ -14,24 +16,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import keep
-from .forms import Bare, grams, mix
+from ..runtime import keep, release, shared_path
+from .forms import Bare, mix
 from .io import arrow_map, plain, slices
-from .neardup import BUCKETS, THRESHOLD, _flat, commonplace, verify
-
-#: Characters of a segment. Texts of up to SHORT bare characters, and their possible partners, go by an exact prefix index of three-character runs.
-WIDTH, SHORT = 6, 24
-#: Texts in which up to SPARSE segments are stored need to share one; others share three, or two that are SPREAD segments apart, as one name that both hold does not make.
-SPARSE, SPREAD = 8, 3
-#: A segment in fewer texts than this is never commonplace.
-COMMON_LEAST = 300
-#: A text with fewer uncommon segments than FEW, or a smaller share of them than OWN_SHARE, stores, or probes with, its common ones too.
-FEW, OWN_SHARE = 4, 0.35
-#: Bits of the fixed-size filter by which only texts that are needed get sent; with more keys it lets more through, never less.
-FILTER_BITS = 25
+
+#: Texts in a block of the index, and the probes that one task handles with a block at a time.
+BLOCK, PROBES = 4096, 20_000
+#: Parts of the index by fandom, and parts of its keys.
+PARTS = 16
+#: Texts are alike from this share of their segments on; lengths are classed by a ratio a little wider than it allows.
+THRESHOLD, RATIO = 0.6, 1.7
+#: Tables of so many rows at most are broadcast; open questions of so many rows at most are settled in one task.
+SMALL, SETTLED = 200_000, 500_000
+#: Bits of a segment's hash; the other 16 of a word number texts in a block.
+_BITS = np.uint64(16)
 
 _SPACE = re.compile(r"\s+")
 _SCHEME = re.compile(r"^[a-z][a-z0-9+.\-]*://")
@@ -55,12 +57,9 @@ def _h(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s)
 
 
-def _signed(x: np.ndarray | list) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
-
-
 def _both(fandom: int, x: int) -> int:
-    return xxhash.xxh3_64_intdigest(fandom.to_bytes(8, "little") + x.to_bytes(8, "little"))
+    """A signed hash of a fandom and a text or page."""
+    return (xxhash.xxh3_64_intdigest(fandom.to_bytes(8, "little") + x.to_bytes(8, "little")) ^ (1 << 63)) - (1 << 63)
 
 
 def _fandoms(names: list[str | None]) -> list[int | None]:
@@ -70,115 +69,369 @@ def _fandoms(names: list[str | None]) -> list[int | None]:
     return [known[n] for n in names]
 
 
-def _keys(df: DataFrame, key: str, fandom: str, text: str, u: str, extra: str | None = None) -> DataFrame:
-    """(id, k, pages[, open]): k names the fandom and bare text together (null without a text), pages the fandom and page."""
+def segments(arr: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct segments of each text as 48-bit hashes, and the text of each; up to 65,536 texts, in their order."""
+    n = max(len(arr) - 2, 0)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    c = arr.astype(np.uint64)
+    g = mix((c[:n] << np.uint64(42)) | (c[1 : n + 1] << np.uint64(21)) | c[2 : n + 2]) >> _BITS
+    row = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)[:n]
+    whole = np.arange(n) - starts[row.astype(np.int64)] <= lens[row.astype(np.int64)] - 3
+    x = np.unique(g[whole] | (row[whole] << np.uint64(48)))
+    return x & np.uint64((1 << 48) - 1), (x >> np.uint64(48)).astype(np.int64)
+
+
+def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lens = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(lens) - lens, lens
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """The length class of texts of n segments; texts that can be alike are at most one class apart."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(RATIO)).astype(np.int32)
+
+
+class Block:
+    """An inverted index of up to BLOCK texts: for each segment the texts that hold it."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, segs: np.ndarray, first: np.ndarray, posts: np.ndarray):
+        self.keys, self.sizes, self.segs, self.first, self.posts = keys, sizes, segs, first, posts
+
+    @classmethod
+    def of(cls, keys: list[int], texts: list[str]) -> Block:
+        seg, row = segments(*flat(texts))
+        return cls.of_pairs(np.array(keys, np.int64), seg, row)
+
+    @classmethod
+    def of_pairs(cls, keys: np.ndarray, seg: np.ndarray, row: np.ndarray) -> Block:
+        x = np.sort((seg << _BITS) | row.astype(np.uint64))
+        seg = x >> _BITS
+        new = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(x) else np.zeros(0, np.int64)
+        return cls(keys, np.bincount(row, minlength=len(keys)), seg[new], np.append(new, len(x)), (x & np.uint64(0xFFFF)).astype(np.int64))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(self.segs, np.diff(self.first)), self.posts
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.keys), len(self.segs), len(self.posts)], np.int64)
+        cols = (head, self.keys, self.sizes.astype(np.int32), np.diff(self.segs, prepend=np.uint64(0)), np.diff(self.first).astype(np.uint16), self.posts.astype(np.uint16))
+        return zstandard.ZstdCompressor(level=3).compress(b"".join(c.tobytes() for c in cols))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        raw, at = zstandard.ZstdDecompressor().decompress(data), 24
+        n, m, p = np.frombuffer(raw, np.int64, 3)
+        out = []
+        for kind, k in ((np.int64, n), (np.int32, n), (np.uint64, m), (np.uint16, m), (np.uint16, p)):
+            out.append(np.frombuffer(raw, kind, k, at))
+            at += out[-1].nbytes
+        return cls(out[0], out[1].astype(np.int64), np.cumsum(out[2], dtype=np.uint64), np.concatenate([[0], np.cumsum(out[3], dtype=np.int64)]), out[4].astype(np.int64))
+
+    def alike(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the probe, number of the text here) of all that are alike: the shared segments of every pair are tallied."""
+        seg, row = segments(*flat(texts))
+        size = np.bincount(row, minlength=len(texts))
+        at = np.minimum(np.searchsorted(self.segs, seg), max(len(self.segs) - 1, 0))
+        met = self.segs[at] == seg if len(self.segs) else np.zeros(len(seg), bool)
+        at, row = at[met], row[met]
+        n_posts = self.first[at + 1] - self.first[at]
+        # slices of probes whose tallies and cells stay small
+        n, load = len(self.keys), np.bincount(row, n_posts, len(texts))
+        cut = np.floor(np.maximum(np.cumsum(load) / 2_000_000, np.arange(len(texts)) * n / 1_000_000)).astype(np.int64)
+        ends = np.flatnonzero(np.append(np.diff(cut) > 0, True)) + 1
+        found_a, found_b, lo = [], [], 0
+        bounds = np.searchsorted(row, np.concatenate([[0], ends]))
+        for hi, a, b in zip(ends, bounds[:-1], bounds[1:]):
+            k = n_posts[a:b]
+            where = np.arange(int(k.sum())) + np.repeat(self.first[at[a:b]] - (np.cumsum(k) - k), k)
+            both = np.bincount(np.repeat((row[a:b] - lo) * n, k) + self.posts[where], minlength=(hi - lo) * n)
+            cell = np.flatnonzero(both)
+            x, y = cell // n, cell % n
+            ok = 8 * both[cell] >= 3 * (size[lo + x] + self.sizes[y])  # shared >= 0.6 of all, all being the sum of both less the shared
+            found_a.append(x[ok] + lo)
+            found_b.append(y[ok])
+            lo = hi
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _normal(df: DataFrame, fandom: str, text: str, u: str, key: str | None = None, reason: str | None = None) -> DataFrame:
+    """([id,] fk, k, class, bare, pages[, open]) of every row: k names fandom and bare text together (null without them), pages fandom and page."""
+    batch = key is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ks, ps = [], []
-            for f, t, a in zip(_fandoms(b.column(1).to_pylist()), Bare(b.column(2).to_pylist()).texts(), b.column(3).to_pylist()):
-                ks.append(_both(f, _h(t)) if f is not None and t else None)
-                ps.append([_both(f, _h(p)) for p in sorted(pages(a))] if f is not None else [])
-            sign = lambda v: None if v is None else (v ^ (1 << 63)) - (1 << 63)
-            cols = [b.column(0), pa.array([sign(k) for k in ks], pa.int64()), pa.array([[sign(p) for p in x] for x in ps], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols + b.columns[4:], names=["id", "k", "pages"] + ["open"] * bool(extra))
-
-    src = plain(df, id=key, f=fandom, t=text, u=u, **({"open": extra} if extra else {}))
-    if extra:
+        for big in slices(batches):
+            for b in (big.slice(i, 1 << 16) for i in range(0, big.num_rows, 1 << 16)):
+                fs = _fandoms(b.column(0).to_pylist())
+                bare = Bare(b.column(1).to_pylist())
+                _, row = segments(bare.arr, bare.starts, bare.lens)
+                classes = size_class(np.bincount(row, minlength=b.num_rows)).tolist()
+                some = (np.bincount(row, minlength=b.num_rows) > 0).tolist()
+                rows = []
+                for f, t, a, c, s in zip(fs, bare.texts(), b.column(2).to_pylist(), classes, some):
+                    k = _both(f, _h(t)) if f is not None and t else None
+                    rows.append((None if f is None else (f ^ (1 << 63)) - (1 << 63), k, c if k is not None and s else None, t if k is not None else None, [_both(f, _h(p)) for p in sorted(pages(a))] if f is not None else []))
+                cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays((b.columns[3:4] if batch else []) + cols + b.columns[4:], names=["id"] * batch + ["fk", "k", "class", "bare", "pages"] + ["open"] * batch)
+
+    src = plain(df, f=fandom, t=text, u=u, **({"id": key, "open": reason} if batch else {}))
+    if batch:
         src = src.withColumn("open", F.col("open").isNull())
-    return arrow_map(src, run, "id long, k long, pages array<long>" + ", open boolean" * bool(extra))
+    return arrow_map(src, run, ("id long, " if batch else "") + "fk long, k long, class int, bare string, pages array<long>" + (", open boolean" if batch else ""))
 
 
-def _texts(df: DataFrame, fandom: str, text: str) -> DataFrame:
-    """(k, fk, bare): the texts with fandom; each task passes on a text once."""
+def _keys_of(rows: DataFrame) -> DataFrame:
+    """(k): the keys that rows are known by, of their text and of each page."""
+    return rows.select(F.explode(F.concat(F.when(F.col("k").isNull(), F.array().cast("array<long>")).otherwise(F.array("k")), "pages")).alias("k"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in slices(batches):
-            rows = []
-            for f, t in zip(_fandoms(b.column(0).to_pylist()), Bare(b.column(1).to_pylist()).texts()):
-                if f is not None and t and (k := _both(f, _h(t))) not in seen:
-                    seen.add(k)
-                    rows.append((k, f, t))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(_signed([r[0] for r in rows])), pa.array(_signed([r[1] for r in rows])), pa.array([r[2] for r in rows], pa.string())], names=["k", "fk", "bare"])
 
-    return arrow_map(plain(df, f=fandom, t=text), run, "k long, fk long, bare string")
+def _small(df: DataFrame) -> DataFrame:
+    """A kept table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _segments(texts: DataFrame, common: np.ndarray, probe: bool) -> DataFrame:
-    """(key, k, at): the stored segments of each text, or the substrings that it probes with.
+def _part(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
-    at is the number of the segment in its text, or -1 if one segment of the text is enough to share.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop = np.unpackbits(common).astype(bool)
-        for b in slices(batches, "bare"):
-            k = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            fk = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            arr, starts, lens = _flat(b.column(2).to_pylist())
-            g, row, at = grams(arr, starts, lens, WIDTH)
-            if not probe:  # whole segments only, from the start of the text on, and the last one from its end
-                where = at - starts[row]
-                first = (where % WIDTH == 0) | (where == lens[row] - WIDTH)
-                g, row = g[first], row[first]
-            rare = ~stop[(g >> np.uint64(64 - BUCKETS)).astype(np.int64)]
-            own = np.bincount(row[rare], minlength=len(k))
-            use = rare | ((own < FEW) | (own < OWN_SHARE * np.bincount(row, minlength=len(k))))[row]
-            g, row, where = g[use], row[use], ((at if probe else at[first]) - starts[row])[use] // WIDTH
-            stored = np.bincount(row, minlength=len(k))
-            keys, owner, place = [mix(g + fk[row] * np.uint64(3)) & ~np.uint64(1)], [k[row]], [np.where(stored[row] <= SPARSE, -1, where)]
-            for r in np.flatnonzero((lens >= 3) & (lens <= SHORT / THRESHOLD + 2)):
-                t = np.unique(grams(arr[starts[r] : starts[r] + lens[r]], np.zeros(1, np.int64), lens[r : r + 1], 3)[0])
-                p = t[: len(t) - int(np.ceil(THRESHOLD * len(t))) + 1]
-                keys.append(mix(p + fk[r : r + 1] * np.uint64(3)) | np.uint64(1))
-                owner.append(np.full(len(p), k[r]))
-                place.append(np.full(len(p), -1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(place).astype(np.int32))], names=["key", "k", "at"])
-
-    return arrow_map(texts, run, "key long, k long, at int")
-
-
-def filter_bits(keys: DataFrame, col: str) -> np.ndarray:
-    """A one-hash filter of 2^FILTER_BITS bits over a column of hashes, whatever its length: 4 MB at most."""
-    word = F.shiftright(F.col(col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
-    bit = F.expr(f"shiftleft(1L, cast({col} & 63 as int))")
-    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+BLOCKS = "fk long, class int, block long, n int, data binary, part int"
 
 
-def _needed(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts whose k is in `keys`; the others are left out before anything is sent."""
-    bits = filter_bits(keys, "k")
+def _blocks(texts: DataFrame, name: str) -> DataFrame:
+    """The blocks (BLOCKS) of texts (fk, k, class, bare): each fandom and length is split into as many as it needs; copies count once."""
+    counts = keep(texts.groupBy("fk", "class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("splits")), "counts")
+    rows = texts.join(_small(counts), ["fk", "class"])
+    rows = rows.select("fk", "class", F.xxhash64("fk", "class", F.pmod(F.col("k"), F.col("splits")), F.lit(name)).alias("block"), "k", "bare")
+    rows = rows.repartition("block").sortWithinPartitions("block", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            low = (k & ((1 << FILTER_BITS) - 1)).astype(np.int64)
-            yield b.filter(pa.array((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) == 1))
-
-    return arrow_map(texts, run, "k long, fk long, bare string").select("k", "bare").dropDuplicates(["k"])
-
-
-def _links(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """(a, b): texts a of the batch and b of history or batch, of one fandom, that differ and are alike. Input: (k, fk, bare)."""
-    common = commonplace(history.unionByName(batch), "bare", WIDTH, COMMON_LEAST)
-    stored = _segments(history.unionByName(batch), common, False).repartition("key").groupBy("key", "k").agg(F.min("at").alias("at")).withColumnRenamed("k", "b")
-    probes = _segments(batch, common, True).select("key", F.col("k").alias("a")).repartition("key").dropDuplicates(["key", "a"])
-    met = stored.join(probes, "key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    cands = keep(met.where((F.col("lo") < 0) | (F.col("n") >= 3) | (F.col("hi") - F.col("lo") >= SPREAD)).select("a", "b"), "cands")
-    mine = keep(_needed(batch, cands.select(F.col("a").alias("k")).union(cands.select("b"))), "mine")
-    theirs = _needed(history, cands.select(F.col("b").alias("k")))
-    every = theirs.unionByName(mine).dropDuplicates(["k"])
-    ta, tb = mine.select(F.col("k").alias("a"), F.col("bare").alias("ta")), every.select(F.col("k").alias("b"), F.col("bare").alias("tb"))
-    return keep(arrow_map(cands.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb"), verify(THRESHOLD), "a long, b long, share double").select("a", "b"), "links")
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(keys), 1 << 16):  # a block holds some more texts than planned at times
+                block = Block.of(keys[i : i + (1 << 16)], texts_of[i : i + (1 << 16)])
+                cols = [[head[0]], [head[1]], [head[2]], [len(block.keys)], [block.pack()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["fk", "class", "block", "n", "data"])
 
+        head, keys, texts_of = None, [], []
+        for b in batches:
+            for f, c, block, k, t in zip(*(x.to_pylist() for x in b.columns)):
+                if head is None or block != head[2]:
+                    if head is not None:
+                        yield from out()
+                    head, keys, texts_of = (f, c, block), [], []
+                if not keys or keys[-1] != k:
+                    keys.append(k)
+                    texts_of.append(t)
+        if head is not None:
+            yield from out()
+
+    return arrow_map(rows, run, "fk long, class int, block long, n int, data binary").withColumn("part", _part("fk"))
+
+
+def _alike(blocks: DataFrame, probes: DataFrame, pairs: bool) -> DataFrame:
+    """The probes (fk, k, class, bare) that are alike to a text of the blocks: (a), or with `pairs` (a, b), b being the other text and not a."""
+    probes = keep(probes.where("class is not null").dropDuplicates(["k"]), "probes")
+    chunks = keep(probes.groupBy("fk").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("chunks")), "chunks")
+    chunks = _small(chunks)
+    cat = _small(keep(blocks.select("fk", "class", "block").distinct(), "catalog"))
+    each = probes.join(chunks, "fk").select("k", "bare", "fk", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int").alias("chunk"))
+    each = each.join(cat, ["fk", "class"]).select("block", "chunk", "k", "bare")
+    stored = blocks.join(chunks, "fk").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "data")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            keys, texts = right.column("k").to_numpy(), right.column("bare").to_pylist()
+            for data in left.column("data").to_pylist():
+                block = Block.unpack(data)
+                for i in range(0, len(texts), 1 << 12):
+                    x, y = block.alike(texts[i : i + (1 << 12)])
+                    if pairs:
+                        a.append(keys[i + x])
+                        b.append(block.keys[y])
+                    else:
+                        a.append(keys[i + np.unique(x)])
+        if not pairs:
+            return pa.table({"a": np.unique(np.concatenate(a))})
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    met = stored.groupBy("block", "chunk").cogroup(each.groupBy("block", "chunk")).applyInArrow(run, "a long" + ", b long" * pairs)
+    return met.distinct()
+
+
+def settle(looking: DataFrame, entered: DataFrame) -> DataFrame:
+    """(id) of the candidates that repeat an accepted earlier one.
+
+    looking is (id, k), the keys under which a candidate looks for earlier ones, entered is (id, k), those under which
+    it can be found if it repeats nothing itself. Candidates whose earlier ones are all decided are decided in rounds,
+    until few enough rows are left for one task, which walks through them by id; what is left is counted first.
+    """
+    first = entered.groupBy("k").agg(F.min("id").alias("first"))
+    looking = keep(looking.join(first, "k").where("first < id").select("id", "k").distinct(), "looking")  # a key without an earlier candidate decides nothing
+    entered = keep(entered.join(looking.select("k").distinct(), "k", "left_semi").distinct(), "entered")
+    decided = None  # (id, case): the candidates that look somewhere, as far as settled
+    while True:
+        undecided = looking if decided is None else looking.join(decided.select("id"), "id", "left_anti")
+        n = undecided.count()
+        if n <= SETTLED:
+            break
+        waiting = undecided.select("id").distinct().withColumn("u", F.lit(True))
+        known = entered if decided is None else entered.join(decided.where("case").select("id"), "id", "left_anti")
+        by_key = known.join(waiting, "id", "left").groupBy("k").agg(F.min(F.when(F.col("u").isNull(), F.col("id"))).alias("accepted"), F.min(F.when(F.col("u"), F.col("id"))).alias("waiting"))
+        seen = undecided.join(by_key, "k").groupBy("id").agg(F.min("accepted").alias("accepted"), F.min("waiting").alias("waiting"))
+        now = seen.select("id", F.when(F.col("accepted") < F.col("id"), True).when(F.col("waiting").isNull() | (F.col("waiting") >= F.col("id")), False).alias("case")).where("case is not null")
+        was, decided = decided, keep(now if decided is None else decided.unionByName(now), "decided")
+        if was is not None:
+            release(was)
+    cases = None if decided is None else decided.where("case").select("id")
+    if n:
+        # the rest: where its rows look, and what can be found there, entered by itself or by decided candidates
+        keys = undecided.select("k").distinct()
+        there = entered.join(keys, "k", "left_semi")
+        if decided is not None:
+            there = there.join(cases, "id", "left_anti")
+        # of what is found under a key by candidates that are decided or look nowhere, the first is enough, so the rest stays small
+        mine = undecided.select("id").distinct().withColumn("u", F.lit(True))
+        there = there.join(mine, "id", "left")
+        there = there.where("u").select("id", "k").unionByName(there.where("u is null").groupBy("k").agg(F.min("id").alias("id")).select("id", "k"))
+        both = undecided.select("id", "k", F.lit(0).alias("enters")).unionByName(there.select("id", "k", F.lit(1).alias("enters")))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            taken: set[int] = set()
+            out: list[int] = []
+            now, looks, enters = None, [], []
+
+            def close() -> None:
+                if any(k in taken for k in looks):
+                    out.append(now)
+                else:
+                    taken.update(enters)
+
+            for b in batches:
+                for i, k, e in zip(*(c.to_pylist() for c in b.columns)):
+                    if i != now:
+                        close()
+                        now, looks, enters = i, [], []
+                    (enters if e else looks).append(k)
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+
+        rest = arrow_map(both.repartition(1).sortWithinPartitions("id"), walk, "id long")
+        cases = rest if cases is None else cases.unionByName(rest)
+    return cases if cases is not None else looking.select("id").limit(0)
+
+
+class SegmentIndex:
+    """What was accepted so far, in a folder that all executors share; see the module's docstring.
+
+    Each append is a generation that counts once it is marked complete, so that an append that failed can be repeated
+    under the same name and leaves nothing behind. A mark is a file of a name; batches are appended one at a time.
+    """
 
-def verdicts(history: DataFrame, batch: DataFrame, *, entity: str = "entity", fandom: str = "fandom", cand: str = "cand_id", bullet: str = "bullet_id", text: str = "t", u: str = "u", reason: str = "reason") -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def generations(self) -> list[str]:
+        """The complete generations, by name."""
+        fs, p = self._fs(f"{self.path}/complete")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{what}/generation={g}" for g in self.generations()]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema + ", generation string").option("basePath", f"{self.path}/{what}").parquet(*paths).drop("generation")
+
+    def blocks(self) -> DataFrame:
+        return self._read("blocks", BLOCKS)
+
+    def keys(self) -> DataFrame:
+        return self._read("keys", "k long, part int")
+
+    def _write(self, name: str, blocks: DataFrame, keys: DataFrame) -> None:
+        blocks.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/generation={name}")
+        keys.withColumn("part", _part("k")).repartition("part").sortWithinPartitions("part", "k").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/keys/generation={name}")
+        fs, p = self._fs(f"{self.path}/complete/{name}")
+        fs.create(p, True).close()
+
+    def _add(self, rows: DataFrame, name: str) -> None:
+        self._write(name, _blocks(rows.where("class is not null").select("fk", "k", "class", "bare"), name), _keys_of(rows).distinct())
+
+    def build(self, history: DataFrame, name: str = "g000000", *, entity: str = "entity", text: str = "t", u: str = "u") -> SegmentIndex:
+        """Adds a history that needn't be checked."""
+        rows = keep(_normal(history, entity, text, u), "history")
+        self._add(rows, name)
+        release(rows)
+        return self
+
+    def check(self, batch: DataFrame, *, fandom: str = "fandom", cand: str = "cand_id", text: str = "t", u: str = "u", reason: str = "reason") -> DataFrame:
+        """(`cand`, verdict) of every candidate, as verdicts() gives them, against what the index holds."""
+        new = keep(_normal(batch, fandom, text, u, cand, reason), "batch")
+        parts = [r[0] for r in new.where("fk is not null").select(_part("fk")).distinct().collect()]  # PARTS at most
+        looks = new.select("id", F.explode(F.concat(F.when(F.col("k").isNull(), F.array().cast("array<long>")).otherwise(F.array("k")), "pages")).alias("k"))
+        key_parts = [r[0] for r in looks.select(_part("k")).distinct().collect()]  # PARTS at most
+        known = self.keys().where(F.col("part").isin(key_parts)).select("k")
+        same = looks.join(known, "k", "left_semi").select("id")
+        near = _alike(self.blocks().where(F.col("part").isin(parts)).drop("part"), new, False)
+        near = new.select("id", F.col("k").alias("a")).join(near, "a").select("id")
+        in_history = keep(same.unionByName(near).distinct(), "known")
+
+        rest = keep(new.join(in_history, "id", "left_anti"), "rest")
+        entered = rest.where("open")
+        links = keep(_alike(_blocks(entered.where("class is not null").select("fk", "k", "class", "bare"), "batch").drop("part"), rest, True), "links")
+        looking = looks.join(in_history, "id", "left_anti").unionByName(rest.select("id", F.col("k").alias("a")).join(links, "a").select("id", F.col("b").alias("k")))
+        entered = entered.select("id", F.explode(F.concat(F.when(F.col("k").isNull(), F.array().cast("array<long>")).otherwise(F.array("k")), "pages")).alias("k"))
+        repeats = settle(looking, entered)
+        said = new.select("id").join(in_history.withColumn("h", F.lit(True)), "id", "left").join(repeats.withColumn("r", F.lit(True)), "id", "left")
+        return said.select(F.col("id").alias(cand), F.when(F.col("h"), "history").when(F.col("r"), "batch").otherwise("new").alias("verdict"))
+
+    def append(self, batch: DataFrame, verdicts: DataFrame, name: str, *, fandom: str = "fandom", cand: str = "cand_id", text: str = "t", u: str = "u", reason: str = "reason") -> None:
+        """Adds the accepted candidates of a checked batch: those without `reason` whose verdict is new. Other generations aren't touched."""
+        rows = keep(_normal(batch, fandom, text, u, cand, reason).where("open").join(verdicts.where("verdict = 'new'").select(F.col(cand).alias("id")), "id", "left_semi"), "accepted")
+        self._add(rows, name)
+        release(rows)
+
+    def compact(self, name: str) -> None:
+        """Merges all generations into one; the segments are merged as they are stored, block by block, not made again."""
+        old = self.generations()
+        blocks = self.blocks()
+        counts = keep(blocks.groupBy("fk", "class").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("splits")), "counts")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> pa.RecordBatch:
+                at = np.cumsum([0] + [len(x.keys) for x in got])
+                seg, row = (np.concatenate(v) for v in zip(*((s, r + o) for x, o in zip(got, at) for s, r in [x.pairs()])))
+                block = Block.of_pairs(np.concatenate([x.keys for x in got]), seg, row)
+                cols = [[head[0]], [head[1]], [head[2]], [len(block.keys)], [block.pack()]]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["fk", "class", "block", "n", "data"])
+
+            head, got = None, []
+            for b in batches:
+                for f, c, block, data in zip(*(x.to_pylist() for x in b.columns)):
+                    x = Block.unpack(data)
+                    if head is not None and (block != head[2] or sum(len(y.keys) for y in got) + len(x.keys) > 2 * BLOCK):
+                        yield out()
+                        got = []
+                    head = (f, c, block)
+                    got.append(x)
+            if got:
+                yield out()
+
+        to = F.xxhash64("fk", "class", F.pmod(F.col("block"), F.col("splits")), F.lit(name))
+        merged = blocks.join(_small(counts), ["fk", "class"]).select("fk", "class", to.alias("block"), "data").repartition("block").sortWithinPartitions("block")
+        merged = arrow_map(merged, run, "fk long, class int, block long, n int, data binary").withColumn("part", _part("fk"))
+        self._write(name, merged, self.keys().select("k").distinct())
+        for what in ("complete/", "blocks/generation=", "keys/generation="):  # what isn't complete any more isn't read
+            for g in old:
+                fs, p = self._fs(f"{self.path}/{what}{g}")
+                fs.delete(p, True)
+
+
+def verdicts(history: DataFrame, batch: DataFrame, *, entity: str = "entity", fandom: str = "fandom", cand: str = "cand_id", text: str = "t", u: str = "u", reason: str = "reason") -> DataFrame:
     """What each candidate brings: (`cand`, verdict), the verdict being history (found there), batch (repeats an accepted earlier candidate) or new.
 
     A candidate repeats what names the same page, or has an equal or alike bare text, for the same fandom (by bare
@@ -186,36 +439,8 @@ def verdicts(history: DataFrame, batch: DataFrame, *, entity: str = "entity", fa
     empty or bare-less fandom equals none, such a text is alike to none, such an address names no page. Repeated rows
     of the history count once; `cand` is unique. Extra columns are ignored, whatever their names. With an empty
     history candidates are compared with each other only; an empty batch gives an empty table.
+
+    The index of the history is built for the occasion; who has batch after batch keeps a :class:`SegmentIndex`.
     """
-    old = keep(_keys(history, bullet, entity, text, u).select("k", "pages"), "history")
-    new = keep(_keys(batch, cand, fandom, text, u, reason), "batch")
-    links = _links(keep(_texts(history, entity, text), "texts"), keep(_texts(batch, fandom, text), "new_texts"))
-
-    # what the history has, by key
-    old_keys = old.select("k").where("k is not null").unionByName(old.select(F.explode("pages").alias("k"))).distinct()
-    looks = new.select("id", "k").where("k is not null").unionByName(new.select("id", F.explode("pages").alias("k")))
-    near = new.select("id", F.col("k").alias("a")).join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "a").select("id", F.col("b").alias("k"))
-    looks = keep(looks.unionByName(near).distinct(), "looks")
-    in_history = keep(looks.join(old_keys, "k", "left_semi").select("id").distinct(), "known")
-
-    # among the rest, by key: where a candidate is entered, and where it looks for earlier ones
-    rest = new.join(in_history, "id", "left_anti").select("id", "k", "pages", "open")
-    entered = rest.where("open").select("id", F.explode(F.concat(F.when(F.col("k").isNull(), F.array()).otherwise(F.array("k")), "pages")).alias("k"))
-    looking = looks.join(in_history, "id", "left_anti")
-    first = entered.groupBy("k").agg(F.min("id").alias("first"))
-    looking = looking.join(first, "k").where("first < id").select("id", "k")  # a key without an earlier candidate decides nothing
-    looking = keep(looking, "looking")
-    used = looking.select("k").distinct()
-    entered = keep(entered.join(used, "k", "left_semi"), "entered")
-    state = looking.select("id").distinct().withColumn("case", F.lit(None).cast("boolean"))  # null: open question; who looks nowhere is new
-    state = keep(state, "state")
-    while state.where("case is null").limit(1).count():
-        undecided = state.where("case is null").select("id").withColumn("u", F.lit(True))
-        known = entered.join(state.where("case").select("id"), "id", "left_anti").join(undecided, "id", "left")
-        by_key = known.groupBy("k").agg(F.min(F.when(F.col("u").isNull(), F.col("id"))).alias("accepted"), F.min(F.when(F.col("u"), F.col("id"))).alias("waiting"))
-        seen = looking.join(undecided, "id").join(by_key, "k").groupBy("id").agg(F.min("accepted").alias("accepted"), F.min("waiting").alias("waiting"))
-        now = undecided.join(seen, "id", "left").select("id", F.when(F.col("accepted") < F.col("id"), True).when(F.col("waiting").isNull() | (F.col("waiting") >= F.col("id")), False).alias("case"))
-        state = keep(state.where("case is not null").unionByName(now), "state")
-    repeats = state.where("case").select("id")
-    said = new.select("id").join(in_history.withColumn("h", F.lit(True)), "id", "left").join(repeats.withColumn("r", F.lit(True)), "id", "left")
-    return said.select(F.col("id").alias(cand), F.when(F.col("h"), "history").when(F.col("r"), "batch").otherwise("new").alias("verdict"))
+    index = SegmentIndex(history.sparkSession, shared_path(history.sparkSession, "index")).build(history, entity=entity, text=text, u=u)
+    return index.check(batch, fandom=fandom, cand=cand, text=text, u=u, reason=reason)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from brindle.runtime import keep
 from brindle.llm import forms, increments, languages, leaks, lookalikes, mixing, multiset, neardup, sentences, terms
 
 LONG = "The money went to Torbe within 12 days. " * 4000
@@ -188,6 +189,62 @@ def test_batches_against_history(spark, bullets, corpus):
     assert increments.verdicts(corpus, df.limit(0)).count() == 0
 
 
+def test_segment_index_takes_batches_one_by_one(spark, tmp_path, monkeypatch):
+    """Batches checked and appended one after the other get the verdicts of all at once; so they do after a compaction and with tiny blocks."""
+    rnd = random.Random(9)
+    texts = [t for seed in range(110) for t in template(2, rnd.randint(40, 120), (10, 25), rnd.choice([2, 6]), seed)]
+    rnd.shuffle(texts)
+    history = [(n, rnd.choice(["E", "F"]), t, f"https://a.example/{n}") for n, t in enumerate(texts[:70])]
+    batch = [(n, rnd.choice(["e", "F"]), rnd.choice(texts), f"https://a.example/{rnd.randint(0, 900)}", rnd.choice([None, None, "skip"])) for n in range(90)]
+    old = spark.createDataFrame(history, "bullet_id long, entity string, t string, u string")
+    df = spark.createDataFrame(batch, "cand_id long, fandom string, t string, u string, reason string")
+    want = slow_verdicts(history, batch)
+    assert 10 < sum(want.values()) < 85
+    monkeypatch.setattr(increments, "BLOCK", 16)
+    index = increments.SegmentIndex(spark, f"file://{tmp_path}/index").build(old)
+    got = {}
+    for at in range(0, 90, 30):
+        part = df.where(f"cand_id >= {at} and cand_id < {at + 30}")
+        said = keep(index.check(part), "said")
+        got |= {r["cand_id"]: r["verdict"] != "new" for r in said.collect()}
+        index.append(part, said, f"g{at + 1:06d}")
+        if at == 30:
+            index.compact("g000002")
+            assert index.generations() == ["g000002"]
+    assert got == want
+    (tmp_path / "index" / "complete" / "g000061").unlink()  # an append that died: nothing of it is read
+    assert index.generations() == ["g000002"]
+    assert {r["cand_id"]: r["verdict"] != "new" for r in index.check(df.where("cand_id >= 60")).collect()} == {i: v for i, v in want.items() if i >= 60}
+
+
+def test_a_large_template_group_in_one_fandom(spark):
+    """No segment is too common to be stored or probed with: every candidate of a group that shares little but its template is found."""
+    texts = template(1500, 120, (10, 40, 70, 100), 4, 7)
+    old = spark.createDataFrame([(n, "E", t, None) for n, t in enumerate(texts[:1200])], "bullet_id long, entity string, t string, u string")
+    df = spark.createDataFrame([(n, "E", t, None, None) for n, t in enumerate(texts[1200:])], "cand_id long, fandom string, t string, u string, reason string")
+    tri = [forms.trigrams(t) for t in texts]
+    want = {n: any(forms.alike_share(tri[1200 + n], x) >= increments.THRESHOLD for x in tri[:1200]) for n in range(300)}
+    assert {r["cand_id"]: r["verdict"] == "history" for r in increments.verdicts(old, df).collect()} == want and all(want.values())
+
+
+def test_settling_in_rounds_and_in_one_task(spark, monkeypatch):
+    rnd = random.Random(2)
+    looks = {i: {rnd.randint(0, 40) for _ in range(rnd.randint(0, 2))} for i in range(200)}
+    looks |= {i: {1000 + i, 999 + i} for i in range(200, 260)}  # a chain
+    opened = {i for i in looks if rnd.random() < 0.8 or i >= 200}
+    cases, taken = set(), set()
+    for i in range(260):
+        if looks[i] & taken:
+            cases.add(i)
+        elif i in opened:
+            taken |= looks[i]
+    looking = spark.createDataFrame([(i, k) for i in looks for k in looks[i]], "id long, k long")
+    entered = spark.createDataFrame([(i, k) for i in opened for k in looks[i]], "id long, k long")
+    assert {r[0] for r in increments.settle(looking, entered).collect()} == cases
+    monkeypatch.setattr(increments, "SETTLED", 60)  # some rounds first
+    assert {r[0] for r in increments.settle(looking, entered).collect()} == cases
+
+
 def test_pages():
     assert increments.pages("https://www.a.com/x/?sec=1&aid=7#c") == increments.pages("http://m.A.com/x?aid=7&q=2") == {"a.com/x?aid=7"}
     assert increments.pages(None) == increments.pages(" ; ") == set()
