@@ -25,11 +25,13 @@ from .forms import Bare, mix
 from .io import arrow_map, plain, slices
 
 #: Texts in a block of the index, and the probes that one task handles with a block at a time.
-BLOCK, PROBES = 4096, 20_000
+BLOCK, PROBES = 4096, 5_000
 #: Parts of the index by fandom, and parts of its keys.
 PARTS = 16
 #: Texts are alike from this share of their segments on; lengths are classed by a ratio a little wider than it allows.
 THRESHOLD, RATIO = 0.6, 1.7
+#: Tenths of a probe's segments that are tallied at first, more than the 4 that may be missing.
+FIRST = 6
 #: Tables of so many rows at most are broadcast; open questions of so many rows at most are settled in one task.
 SMALL, SETTLED = 200_000, 500_000
 #: Bits of a segment's hash; the other 16 of a word number texts in a block.
@@ -77,8 +79,14 @@ def segments(arr: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.
     c = arr.astype(np.uint64)
     g = mix((c[:n] << np.uint64(42)) | (c[1 : n + 1] << np.uint64(21)) | c[2 : n + 2]) >> _BITS
     row = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)[:n]
-    whole = np.arange(n) - starts[row.astype(np.int64)] <= lens[row.astype(np.int64)] - 3
-    x = np.unique(g[whole] | (row[whole] << np.uint64(48)))
+    whole = np.ones(len(arr), bool)  # but for the last two of each text
+    ends = starts + lens
+    whole[ends[lens > 0] - 1] = False
+    whole[ends[lens > 1] - 2] = False
+    whole = whole[:n]
+    x = np.sort(g[whole] | (row[whole] << np.uint64(48)))
+    if len(x):
+        x = x[np.concatenate([[True], x[1:] != x[:-1]])]
     return x & np.uint64((1 << 48) - 1), (x >> np.uint64(48)).astype(np.int64)
 
 
@@ -129,27 +137,54 @@ class Block:
         return cls(out[0], out[1].astype(np.int64), np.cumsum(out[2], dtype=np.uint64), np.concatenate([[0], np.cumsum(out[3], dtype=np.int64)]), out[4].astype(np.int64))
 
     def alike(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the probe, number of the text here) of all that are alike: the shared segments of every pair are tallied."""
+        """(number of the probe, number of the text here) of all that are alike.
+
+        The rarer FIRST of a probe's segments are tallied; two texts that are alike share at least 0.6 of the segments of
+        each, so all but 0.4 of the probe's must be met among them less those not looked at. Of the pairs that reach
+        this minimum the other segments are looked up, which makes the tally complete.
+        """
         seg, row = segments(*flat(texts))
         size = np.bincount(row, minlength=len(texts))
-        at = np.minimum(np.searchsorted(self.segs, seg), max(len(self.segs) - 1, 0))
-        met = self.segs[at] == seg if len(self.segs) else np.zeros(len(seg), bool)
-        at, row = at[met], row[met]
-        n_posts = self.first[at + 1] - self.first[at]
+        n = len(self.keys)
+        if not len(self.segs) or not len(seg):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.segs, seg), len(self.segs) - 1)
+        n_posts = np.where(self.segs[at] == seg, self.first[at + 1] - self.first[at], 0)
+        order = np.argsort((row << 17) | n_posts)  # by row, rarest first
+        at, n_posts = at[order], n_posts[order]
+        start = np.cumsum(size) - size
+        early = (np.arange(len(row)) - start[row]) * 10 < size[row] * FIRST
+        n_early = np.bincount(row[early], minlength=len(texts))
+        need = np.maximum(n_early - (4 * size) // 10, 1)
+        use = np.flatnonzero(early & (n_posts > 0))
         # slices of probes whose tallies and cells stay small
-        n, load = len(self.keys), np.bincount(row, n_posts, len(texts))
+        load = np.bincount(row[use], n_posts[use], len(texts))
         cut = np.floor(np.maximum(np.cumsum(load) / 2_000_000, np.arange(len(texts)) * n / 1_000_000)).astype(np.int64)
         ends = np.flatnonzero(np.append(np.diff(cut) > 0, True)) + 1
+        bounds = np.searchsorted(row[use], np.concatenate([[0], ends]))
+        member = np.repeat(np.arange(len(self.segs)), np.diff(self.first)) * n + self.posts  # sorted: (segment, text)
         found_a, found_b, lo = [], [], 0
-        bounds = np.searchsorted(row, np.concatenate([[0], ends]))
         for hi, a, b in zip(ends, bounds[:-1], bounds[1:]):
-            k = n_posts[a:b]
-            where = np.arange(int(k.sum())) + np.repeat(self.first[at[a:b]] - (np.cumsum(k) - k), k)
-            both = np.bincount(np.repeat((row[a:b] - lo) * n, k) + self.posts[where], minlength=(hi - lo) * n)
-            cell = np.flatnonzero(both)
-            x, y = cell // n, cell % n
-            ok = 8 * both[cell] >= 3 * (size[lo + x] + self.sizes[y])  # shared >= 0.6 of all, all being the sum of both less the shared
-            found_a.append(x[ok] + lo)
+            some = use[a:b]
+            k = n_posts[some]
+            where = np.repeat(self.first[at[some]] - (np.cumsum(k) - k), k)
+            where += np.arange(len(where))
+            where = self.posts[where]
+            where += np.repeat((row[some] - lo) * n, k)
+            both = np.bincount(where, minlength=(hi - lo) * n).reshape(hi - lo, n)
+            x, y = np.nonzero(both >= need[lo:hi, None])
+            shared = both[x, y]
+            x += lo
+            # the segments that weren't tallied
+            k = size[x] - n_early[x]
+            where = np.repeat(start[x] + n_early[x] - (np.cumsum(k) - k), k)
+            where += np.arange(len(where))
+            where = where if len(where) else np.zeros(0, np.int64)
+            want = at[where] * n + np.repeat(y, k)
+            hit = (member[np.minimum(np.searchsorted(member, want), len(member) - 1)] == want) & (n_posts[where] > 0)
+            shared = shared + np.bincount(np.repeat(np.arange(len(x)), k)[hit], minlength=len(x))
+            ok = 8 * shared >= 3 * (size[x] + self.sizes[y])  # shared >= 0.6 of all, all being the sum of both less the shared
+            found_a.append(x[ok])
             found_b.append(y[ok])
             lo = hi
         return np.concatenate(found_a), np.concatenate(found_b)
