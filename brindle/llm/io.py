@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,3 +51,30 @@ def bounded_sample(rows: DataFrame, n: int, *order: str) -> list:
     h = F.xxhash64(*order)
     part = min(1.0, 1.2 * n / total + 50.0 / total)
     return rows.where(F.pmod(h, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(h, *order).limit(n).collect()
+
+
+#: Bits of the fixed-size filter by which only rows that are needed get sent; with more keys it lets more through, never less.
+FILTER_BITS = 25
+
+
+def filter_bits(keys: DataFrame, col: str) -> np.ndarray:
+    """A one-hash filter of 2^FILTER_BITS bits over a column of hashes, whatever its length: 4 MB at most."""
+    word = F.shiftright(F.col(col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    bit = F.expr(f"shiftleft(1L, cast({col} & 63 as int))")
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def passing(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose hash the filter lets through; nulls don't pass."""
+    at = df.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(at).is_valid())
+            low = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+            yield b.filter(pa.array((bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return df.mapInArrow(run, df.schema)

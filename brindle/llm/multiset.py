@@ -1,8 +1,9 @@
 """Problem 3: records that are the same but for formatting and field order.
 
 Every normalized (field name, value) pair is hashed, and the hashes of a record are added up, which makes the
-fingerprint independent of the order of the fields. Records are grouped by fingerprint together with the normalized
-fields themselves, so equality is verified by hashing, without sorting and without bringing a group into one task.
+fingerprint independent of the order of the fields. Only fingerprints are sent to be counted. The fields of records
+whose fingerprint occurs more than once are then compared with each other, by grouping them within their fingerprint;
+records with a fingerprint of their own are never sent. Nothing is sorted.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import keep
 from .forms import Bare
-from .io import arrow_map, hash128, plain, slices
+from .io import arrow_map, filter_bits, hash128, passing, plain, slices
 
 _SPACE = re.compile(r"\s+")
 
@@ -59,24 +59,33 @@ def fingerprint(pairs: list[tuple[str, str]]) -> tuple[int, int]:
 
 
 def _rows(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(id, f1, f2, v, n0..): the records that can have copies, with fingerprint, check hash and normalized fields."""
+    """(id, f1, f2, n0..): the records with their fingerprint and normalized fields, all null for those that equal no other."""
     names = sorted(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "n0"):
             cols = [KINDS[fields[n]](b.column(i + 1).to_pylist()) for i, n in enumerate(names)]
-            rows = [(i, *fingerprint(list(zip(names, v))), xxhash.xxh3_64_intdigest("\0".join(v), seed=7) - (1 << 63), *v) for i, *v in zip(b.column(0).to_pylist(), *cols) if None not in v]
-            types = [pa.int64()] * 4 + [pa.string()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["id", "f1", "f2", "v", *(f"n{i}" for i in range(len(names)))])
+            none = (None,) * (2 + len(names))
+            rows = [none if None in v else (*fingerprint(list(zip(names, v))), *v) for v in zip(*cols)]
+            types = [pa.int64()] * 2 + [pa.string()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], names=["id", "f1", "f2", *(f"n{i}" for i in range(len(names)))])
 
     src = plain(df, k=key, **{f"n{i}": n for i, n in enumerate(names)})
-    return keep(arrow_map(src, run, "id long, f1 long, f2 long, v long, " + ", ".join(f"n{i} string" for i in range(len(names)))), "records")
+    return keep(arrow_map(src, run, "id long, f1 long, f2 long, " + ", ".join(f"n{i} string" for i in range(len(names)))), "records")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(f1, f2, v, keep_id, copies) of every group; equal fingerprints with different fields stay apart."""
-    fields = [c for c in rows.columns if c != "id"]
-    return rows.groupBy(*fields).agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).select("f1", "f2", "v", "keep_id", "copies")
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(f1, f2, keep_id, n) by fingerprint; the records of the fingerprints that occur more than once; these by fingerprint and fields.
+
+    The last has (f1, f2, v, keep_id, n), v being a hash of the fields, so equal fingerprints with different fields stay apart.
+    """
+    fields = [c for c in rows.columns if c.startswith("n")]
+    prints = keep(rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")), "prints")
+    several = prints.where("n > 1")
+    some = passing(rows, "f1", filter_bits(several, "f1"))
+    check = F.xxhash64(*fields).alias("v")
+    verified = some.groupBy("f1", "f2", *fields).agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).select("f1", "f2", check, "keep_id", "n")
+    return prints, some.select("id", "f1", "f2", check), verified
 
 
 def copies(df: DataFrame, key: str = "bullet_id", fields: dict[str, str] | None = None) -> DataFrame:
@@ -86,15 +95,18 @@ def copies(df: DataFrame, key: str = "bullet_id", fields: dict[str, str] | None
     with a text of nothing but blanks and marks, equal no other: each of them is a row with n_copies 1. A repeated row
     counts as a copy. Other columns are ignored whatever their names; an empty table gives an empty one.
     """
-    fields = fields or {"t": "text", "u": "address"}
-    rows = _rows(df, key, fields)
-    grouped = _groups(rows).select("keep_id", F.col("copies").alias("n_copies"))
-    alone = plain(df, keep_id=key).join(rows.select(F.col("id").alias("keep_id")), "keep_id", "left_anti").select("keep_id", F.lit(1).cast("long").alias("n_copies"))
-    return grouped.unionByName(alone)
+    rows = _rows(df, key, fields or {"t": "text", "u": "address"})
+    prints, _, verified = _groups(rows)
+    # the filter lets through some records whose fingerprint is their own; these are in `prints` already
+    again = verified.hint("shuffle_hash").join(prints.where("n > 1").select("f1", "f2"), ["f1", "f2"], "left_semi")
+    parts = (prints.where("n = 1"), again, rows.where("f1 is null").select(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
+    a, b, c = (p.select("keep_id", F.col("n").alias("n_copies")) for p in parts)
+    return a.unionByName(b).unionByName(c)
 
 
 def copy_pairs(df: DataFrame, key: str = "bullet_id", fields: dict[str, str] | None = None) -> DataFrame:
     """(keep_id, `key`): for records with copies, the smallest key and each other one. Nulls and blanks as in copies()."""
     rows = _rows(df, key, fields or {"t": "text", "u": "address"})
-    several = _groups(rows).where("copies > 1").select("f1", "f2", "v", "keep_id")
-    return rows.select("f1", "f2", "v", "id").join(several, ["f1", "f2", "v"]).where("id <> keep_id").select("keep_id", F.col("id").alias(key)).distinct()
+    _, some, verified = _groups(rows)
+    several = verified.where("n > 1").select("f1", "f2", "v", "keep_id").hint("shuffle_hash")
+    return some.join(several, ["f1", "f2", "v"]).where("id <> keep_id").select("keep_id", F.col("id").alias(key)).distinct()

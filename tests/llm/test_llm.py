@@ -123,6 +123,19 @@ def test_copies(spark, bullets, corpus):
     assert multiset.address_key(None) is None
 
 
+def test_records_with_a_fingerprint_in_common_are_compared(spark, monkeypatch):
+    """A fingerprint that says little makes no copies of different records."""
+    rows_in = [(n, f"text number {n // 3}", f"https://a.example/{n // 3}") for n in range(60)]
+    df = spark.createDataFrame(rows_in, "bullet_id long, t string, u string").repartition(3)
+    want = [(n // 3 * 3, n) for n in range(60) if n % 3]
+    assert rows(multiset.copy_pairs(df), "keep_id", "bullet_id") == want
+    monkeypatch.setattr(multiset, "fingerprint", lambda pairs: (len(pairs[0][1]), 0))
+    assert rows(multiset.copy_pairs(df), "keep_id", "bullet_id") == want
+    assert rows(multiset.copies(df), "keep_id", "n_copies") == [(n, 3) for n in range(0, 60, 3)]
+    monkeypatch.setattr(multiset, "fingerprint", lambda pairs: (hash(str(pairs)) + id(pairs) % 97, id(pairs)))  # one that tells copies apart finds none
+    assert rows(multiset.copy_pairs(df), "keep_id", "bullet_id") == []
+
+
 def test_near_duplicates(spark, bullets, corpus):
     bare = dict(zip([b[0] for b in bullets], forms.Bare([b[2] for b in bullets]).texts()))
     tri = {i: forms.trigrams(t) for i, t in bare.items()}
@@ -253,14 +266,32 @@ def test_pages():
 def test_burst_trie():
     rnd = random.Random(1)
     trie, want = terms.BurstTrie(8), {}
-    for _ in range(3000):
-        w = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7)))
-        n, m = rnd.randint(1, 5), rnd.randint(1, 2)
-        trie.add(w, n, m)
-        x = want.setdefault(w, [0, 0])
-        x[0] += n
-        x[1] += m
+    for n in range(1500):
+        ws = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7))) for _ in range(rnd.randint(0, 4))]
+        trie.add(ws, n)
+        for w in ws:
+            want.setdefault(w, [0, 0])[0] += 1
+        for w in set(ws):
+            want[w][1] += 1
     assert {w: [n, m] for w, n, m in trie.items()} == want and trie.size == len(want)
+    assert max(len(p) for p, _ in trie.containers()) > 2
+    names, uses, records = terms.unpack(terms.pack(["a\nb", "", "가"], np.array([3, 2, 1]), np.array([1, 1, 1])))
+    assert (names, uses.tolist(), records.tolist()) == (["a\nb", "", "가"], [3, 2, 1], [1, 1, 1])
+
+
+def test_subtrees_are_merged_by_adaptive_prefixes(spark):
+    """Two tasks whose tries burst at different depths; their containers meet under prefixes that heavy ones were divided into."""
+    few, many = terms.BurstTrie(50), terms.BurstTrie(4)
+    words = [a + b + c for a in "abc" for b in "abcd" for c in ("", "x", "xy", "z\nz")]
+    for n, w in enumerate(words):
+        many.add([w, w], n)
+    few.add(words[::2], 0)
+    rows = [(p, len(c), terms.pack(list(c), np.array([x[0] for x in c.values()]), np.array([x[1] for x in c.values()]))) for t in (few, many) for p, c in t.containers()]
+    df = spark.createDataFrame(rows, "prefix string, n long, data binary").repartition(3)
+    for most in (1, 30, 1000):
+        got = {r["term"]: (r["uses"], r["records"]) for r in terms._merged(df, most).collect()}
+        assert got == {w: (3, 2) if i % 2 == 0 else (2, 1) for i, w in enumerate(words)}
+    assert terms.route("abcd", {"a"}) == "ab" and terms.route("a", {"a"}) == "a" and terms.route("a", {"a"}, False) is None and terms.route("zzz", {"a"}) == "z"
 
 
 def test_term_frequencies(spark, bullets, corpus):
