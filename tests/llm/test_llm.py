@@ -506,6 +506,17 @@ def test_a_large_group_of_near_duplicates(spark):
     assert len(want) > 100_000 and got <= want and len(got) >= 0.995 * len(want)
 
 
+def test_near_duplicates_whatever_the_partitioning(spark, bullets):
+    """The same pairs from one partition and from many, and all of them with `exact`."""
+    texts = [b[2] for b in bullets] + template(60, 60, (12, 40), 4, 5) + template(40, 20, (3,), 3, 6)
+    tri = [forms.trigrams(forms.bare(t)) for t in texts]
+    bare = [forms.bare(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if bare[i] != bare[j] and forms.alike_share(tri[i], tri[j]) >= neardup.THRESHOLD}
+    df = spark.createDataFrame(list(enumerate(texts)), "bullet_id long, t string")
+    got = [{(r[0], r[1]) for r in neardup.alike_pairs(d, exact=e).collect()} for d, e in ((df.coalesce(1), False), (df.repartition(7), False), (df.repartition(5), True))]
+    assert got[0] == got[1] <= want and len(got[0]) >= 0.998 * len(want) and got[2] == want
+
+
 def test_leaks_edited_into_short_runs(spark):
     """Shared runs that add up to less than a leak, some shorter than a seed; and an edited copy that sits in many documents."""
     rnd = random.Random(8)
