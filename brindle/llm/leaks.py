@@ -1,8 +1,9 @@
 """Problem 7: evaluation passages in training text, whole, in part or edited.
 
-Of every item, runs of SEED characters are chosen as seeds so that each stretch as long as the shortest leak holds
-one, the one that is rarest in the corpus. The corpus is scanned for the seeds once; where one occurs, the shared run is
-extended, and document and item are aligned by Smith-Waterman, which also scores copies that were edited.
+Of every item, runs of SEED characters are chosen as seeds, of each stretch of STRETCH characters the one that is rarest
+in the corpus. The seeds are so short that some survive between edits ten characters apart, and the stretches so short that
+a run as long as the shortest leak holds two at least. The corpus is scanned for the seeds once; where several meet
+along about the same diagonal, document and item are aligned by Smith-Waterman, which also scores copies that were edited.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from .io import arrow_map, plain, slices
 
 #: The shortest shared run that is a leak, in bare characters, and that for languages without blanks between words.
 RUN, RUN_DENSE, DENSE = 60, 30, ("ja", "zh")
-SEED, SEED_DENSE = 20, 12
-#: Seeds that are sent to the tasks at once; more items are scanned for in blocks.
-BLOCK_SEEDS = 1_000_000
+SEED, SEED_DENSE = 8, 5
+#: The stretches that have a seed each; a shortest leak holds two without overlap.
+STRETCH, STRETCH_DENSE = 24, 12
+#: Characters of the items that are sent to the tasks at once, some 40,000 items; more are scanned for in blocks.
+BLOCK_SEEDS = 8_000_000
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: How far an alignment may drift from the places at which seeds were met.
 BAND = 48
 #: The least share of the best possible score at which an alignment without a long shared run is reported.
 EDITED = 0.5
-_BITS = 22
+#: The share of an item's seeds, and the number of them, that must meet in a band for an alignment; an edited copy that reaches EDITED has about three times as many.
+EVIDENCE, LEAST_SEEDS = 0.15, 3
 
 
 @dataclass
@@ -41,14 +45,19 @@ class Seeds:
     item: np.ndarray
     at: np.ndarray
 
+    @property
+    def shift(self) -> np.uint64:
+        """By how much a hash is cut for the bitmap, which has a bit in sixteen set at most, up to 2^27 bits."""
+        return np.uint64(64 - int(np.clip(np.ceil(np.log2(16 * max(len(self.hashes), 1))), 16, 27)))
+
     def bitmap(self) -> np.ndarray:
-        out = np.zeros(1 << _BITS, bool)
-        out[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        out = np.zeros(1 << (64 - int(self.shift)), bool)
+        out[(self.hashes >> self.shift).astype(np.int64)] = True
         return out
 
     def hits(self, g: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into g, and into the seeds, of every match."""
-        cand = np.flatnonzero(bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+        cand = np.flatnonzero(bitmap[(g >> self.shift).astype(np.int64)])
         lo, hi = (np.searchsorted(self.hashes, g[cand], s) for s in ("left", "right"))
         n = hi - lo
         who = np.repeat(cand, n)
@@ -71,10 +80,7 @@ def item_grams(texts: list[np.ndarray], dense: list[bool]) -> list[Seeds]:
 
 
 def choose(seeds: Seeds, count: np.ndarray, run: int) -> Seeds:
-    """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter).
-
-    A stretch that the corpus holds has no seed that doesn't occur; the seeds of the other stretches, however common, find edited copies.
-    """
+    """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter), however common it is."""
     keep = np.zeros(len(seeds.hashes), bool)
     never = np.iinfo(np.int64).max
     count = np.where(count > 0, count, never)
@@ -88,15 +94,11 @@ def choose(seeds: Seeds, count: np.ndarray, run: int) -> Seeds:
     return Seeds(seeds.width, seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
 
 
-def shared_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
-    """Start in a and length of the longest equal run through a[i] and b[j]; 0 if these differ."""
-    n = min(i, j) + 1
-    back = np.flatnonzero(a[i - n + 1 : i + 1][::-1] != b[j - n + 1 : j + 1][::-1])
-    back = int(back[0]) if len(back) else n
-    m = min(len(a) - i, len(b) - j)
-    on = np.flatnonzero(a[i : i + m] != b[j : j + m])
-    on = int(on[0]) if len(on) else m
-    return i - back + 1, max(0, back + on - 1)
+def longest_equal(a: np.ndarray, b: np.ndarray, diagonal: int) -> int:
+    """The length of the longest equal run of a and b, places in a being by `diagonal` greater than those in b."""
+    lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
+    differ = np.flatnonzero(a[lo + diagonal : hi + diagonal] != b[lo:hi])
+    return int(np.diff(differ, prepend=-1, append=hi - lo).max()) - 1
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[tuple[int, int]] | None = None) -> np.ndarray:
@@ -135,7 +137,14 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[tuple
     return best
 
 
+#: More than any two places in a text can be apart.
+_WIDE = 1 << 32
+
+
 def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.ndarray], runs: list[int]) -> DataFrame:
+    n_seeds = sum((np.bincount(s.item, minlength=len(ids)) for s in seeds), np.zeros(len(ids), np.int64))
+    need = np.maximum(LEAST_SEEDS, np.ceil(EVIDENCE * n_seeds)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [s.bitmap() for s in seeds]
         for b in slices(batches):
@@ -148,34 +157,42 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
             rows = {x[0]: x for x in same.values()}
             first = np.zeros(len(keys), bool)
             first[list(rows)] = True
-            found: dict[tuple[int, int], list] = {}
+            met = []
             for s, bits in zip(seeds, maps):
                 g, row, at = grams(bare.arr, bare.starts, bare.lens, s.width)
                 own = first[row]
                 g, row, at = g[own], row[own], at[own]
                 where, which = s.hits(g, bits)
-                for r, p, item, q in zip(row[where].tolist(), at[where].tolist(), s.item[which].tolist(), s.at[which].tolist()):
-                    start = int(bare.starts[r])
-                    hit = found.setdefault((r, item), [0, set()])
-                    if any(d == p - q and x <= p < x + n for d, x, n in hit[1]):
-                        continue  # inside a run that is known
-                    x, n = shared_run(bare.arr[start : int(ends[r])], p - start, texts[item], q)
-                    if n:
-                        hit[1].add((p - q, x + start, n))
-                        hit[0] = max(hit[0], n)
-            # an alignment scores MATCH for each character of the document at most; shorter ones can't reach EDITED
-            todo = [(r, item, hit[0]) for (r, item), hit in found.items() if hit[0] >= runs[item] or bare.lens[r] >= EDITED * len(texts[item])]
-            pairs, bands, owner = [], [], []
-            for k, (r, item, _) in enumerate(todo):
-                start, last = int(bare.starts[r]), None
-                for d in sorted({d - start for d, _, _ in found[r, item][1]}):  # one band for shared runs that an alignment can join
-                    if last is not None and d - last <= BAND:
-                        bands[-1] = (bands[-1][0], d + BAND)
+                met.append((row[where] * len(ids) + s.item[which], at[where] - bare.starts[row[where]] - s.at[which]))
+            pair, diagonal = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
+            # (pair, diagonal) in one number, in order; how many seeds meet on it, and within a band from it on
+            line = np.sort(pair * _WIDE + diagonal + _WIDE // 2)
+            lines, n_on = np.unique(line, return_counts=True)
+            within = np.searchsorted(line, lines + BAND, "right") - np.searchsorted(line, lines)
+            pair = lines // _WIDE
+            good = (n_on >= 2) | (within >= need[pair % len(ids)])
+            wanted = np.unique(pair[good])
+            use = np.isin(pair, wanted)
+            todo, pairs, bands, owner = [], [], [], []
+            for k, part in zip(wanted.tolist(), np.split(np.flatnonzero(use), np.flatnonzero(np.diff(pair[use])) + 1)) if len(wanted) else ():
+                r, item = divmod(k, len(ids))
+                doc = bare.arr[int(bare.starts[r]) : int(ends[r])]
+                d = lines[part] % _WIDE - _WIDE // 2
+                longest = max((longest_equal(doc, texts[item], int(x)) for x in d[n_on[part] >= 2]), default=0)
+                if longest < runs[item] and len(doc) < EDITED * len(texts[item]):
+                    continue  # an alignment scores MATCH for each character of the document at most
+                last = None
+                for x, n in zip(d.tolist(), (good[part]).tolist()):  # one band for diagonals that an alignment can join
+                    if last is not None and x - last <= BAND:
+                        bands[-1] = (bands[-1][0], x + BAND)
+                    elif n:
+                        pairs.append((texts[item], doc))
+                        bands.append((x - BAND, x + BAND))
+                        owner.append(len(todo))
                     else:
-                        pairs.append((texts[item], bare.arr[start : int(ends[r])]))
-                        bands.append((d - BAND, d + BAND))
-                        owner.append(k)
-                    last = d
+                        continue
+                    last = x
+                todo.append((r, item, longest))
             score = np.zeros(len(todo), np.int64)
             np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
             share = [float(x) / (MATCH * len(texts[t[1]])) for x, t in zip(score, todo)]
@@ -220,8 +237,8 @@ def _count(docs: DataFrame, seeds: list[Seeds]) -> list[np.ndarray]:
 def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", lang: str = "lang") -> DataFrame:
     """(`doc`, `item`, longest_run, leaked, aligned) for each document and item that share text.
 
-    longest_run is the longest run of characters that the bare forms share, leaked tells that it reaches RUN (RUN_DENSE
-    for the items in the languages DENSE), aligned is the alignment's share of the best score. Pairs that don't reach
+    longest_run is the longest run of characters that the bare forms share (0 where it is too short to hold two seeds),
+    leaked tells that it reaches RUN (RUN_DENSE for the items in the languages DENSE), aligned is the alignment's share of the best score. Pairs that don't reach
     it are listed if they are aligned by EDITED or more. Null and empty texts and passages, and items shorter than a
     seed, share nothing. Repeated rows count once, other columns are ignored whatever their names, and with no
     documents or no items the result is empty.
@@ -236,7 +253,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
         texts = [Bare([r[1]]).arr for r in block]
         every = item_grams(texts, langs)
         runs = [RUN_DENSE if d else RUN for d in langs]
-        chosen = [choose(s, n, RUN if s.width == SEED else RUN_DENSE) for s, n in zip(every, _count(src, every))]
+        chosen = [choose(s, n, STRETCH if s.width == SEED else STRETCH_DENSE) for s, n in zip(every, _count(src, every))]
         return _scan(src, chosen, ids, texts, runs)
 
     for r in plain(items, i=item, p=passage, l=lang).distinct().toLocalIterator():  # the items pass the driver block by block

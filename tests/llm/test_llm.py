@@ -339,6 +339,28 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), it).count() == leaks.leaks(df, it.limit(0)).count() == 0
 
 
+def test_copies_edited_every_few_characters(spark):
+    """Copies with a change every 10 to 25 characters, too near each other for long shared runs."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(n))
+    items = [(i, text(rnd.randint(150, 400)), "en" if i % 3 else "ja") for i in range(40)]
+    docs, want = [], {}
+    for i, p, _ in items:
+        for every in (10, 15, 19, 25):
+            out = []
+            for k, c in enumerate(p):
+                how = rnd.randint(0, 2) if k % every == every // 2 else 9
+                out.append({0: "z", 1: "", 2: c + "z"}.get(how, c))
+            docs.append((len(docs), text(300) + "".join(out) + text(300)))
+            want[docs[-1][0], i] = every
+    docs += [(1000 + n, text(900)) for n in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, lang string")).collect()}
+    assert got <= want.keys()
+    for every in (10, 15, 19, 25):
+        mine = [k for k, e in want.items() if e == every]
+        assert sum(k in got for k in mine) >= 0.9 * len(mine)
+
+
 def test_smith_waterman():
     def slow(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
