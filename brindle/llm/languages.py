@@ -30,6 +30,18 @@ CODES = {
 }
 #: Labelled rows that the model is fitted on, the bound of the sample.
 SAMPLE = 20_000
+#: With fewer usable labels in the sample than this the model starts from SEED_WORDS instead of the labels.
+LEAST_LABELLED = 500
+# Words of much use in languages that share a script.
+SEED_WORDS = {
+    "en": "the of and to in that with for was from this are were their which they has after", "es": "el los las del que con para por una más como pero sus fue desde entre y en",
+    "fr": "le les des du et est dans pour avec une qui sur aux plus cette ont par au", "id": "yang dan di dari untuk dengan pada ini itu adalah akan tidak para telah oleh ke",
+    "vi": "của và các cho được với những trong một là người có này để đã từ tại", "tl": "ang ng mga sa na ay para nang ito siya kung hindi noong mula at upang",
+    "pt": "os da do das dos que com para uma não em mais pelo foi ao são pela um", "tr": "ve bir bu için ile olarak daha çok gibi olan sonra kadar oldu ise her",
+    "zh": "的 了 是 在 们 这 个 为 与 后 对 应 团 会", "ja": "年 月 日 人 部 表 新 発 売 観 図 気 駅 広",
+}
+#: Cells of the tables that decoding fills at once: rows times the tokens of the longest.
+CELLS = 1 << 18
 #: Cost of switching language in nats, between clauses and within one.
 BETWEEN, WITHIN = 9.0, 24.0
 
@@ -115,7 +127,10 @@ def _estimate(rows: list[tuple[list[str], int]], least: int = 3) -> WordModel:
 
 def fit(rows: list[tuple[str, str]], rounds: int = 2) -> WordModel:
     """A model from (text, language), some of which are wrong or mixed: refitted on the rows that it agrees with."""
-    data = [(ws, LANGS.index(l)) for ws, (_, l) in zip(tokens([t for t, _ in rows]), rows)]
+    return _refit([(ws, LANGS.index(l)) for ws, (_, l) in zip(tokens([t for t, _ in rows]), rows)], rounds)
+
+
+def _refit(data: list[tuple[list[str], int]], rounds: int) -> WordModel:
     model = _estimate(data)
     for _ in range(rounds):
         said = decode([ws for ws, _ in data], model)
@@ -124,18 +139,49 @@ def fit(rows: list[tuple[str, str]], rounds: int = 2) -> WordModel:
     return model
 
 
-def decode(rows: list[list[str]], model: WordModel, chunk: int = 1024) -> list[list[tuple[int, int, int, float]]]:
+def fit_unlabelled(texts: list[str], rounds: int = 3) -> WordModel:
+    """A model from texts without labels: where scripts, or else most of the SEED_WORDS in a text, name one language, that is its first label."""
+    number = {w: [] for words in SEED_WORDS.values() for w in words.split()}
+    for l, words in SEED_WORDS.items():
+        for w in words.split():
+            number[w].append(LANGS.index(l))
+    data = []
+    for ws in tokens(texts):
+        scripts = [*{_script_no(w) for w in ws} - {len(_SCRIPT_NO)}]
+        if not scripts:
+            continue
+        score = np.zeros(len(LANGS))
+        for w in ws:
+            for l in number.get(w, ()):
+                score[l] += 1
+        one = [l for l in range(len(LANGS)) if _ADMITS[scripts, l].any() and not any(_ADMITS[k].sum() == 1 and not _ADMITS[k, l] for k in scripts)]
+        best = [l for l in one if score[l] == max(score[one])] if len(one) > 1 else one
+        if len(best) == 1 and (len(one) == 1 or score[best[0]] >= 2):
+            data.append((ws, best[0]))
+    return _refit(data, rounds)
+
+
+def _chunks(rows: list[list[str]], cells: int) -> Iterator[list[int]]:
+    """Numbers of the rows that hold something, by length, in parts that fill `cells` at most when padded (or hold one row)."""
+    part: list[int] = []
+    for i in sorted((i for i, r in enumerate(rows) if r), key=lambda i: len(rows[i])):
+        if part and (len(part) + 1) * len(rows[i]) > cells:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def decode(rows: list[list[str]], model: WordModel, cells: int = CELLS) -> list[list[tuple[int, int, int, float]]]:
     """For each row of tokens its stretches (language, first token, token after the last, confidence).
 
-    Rows without words have none. All rows of a chunk are decoded at once, shorter ones padded.
+    Rows without words have none. Rows of about one length are decoded at once, shorter ones padded, so that memory goes by
+    the longest row or by `cells`.
     """
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in rows]
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
     nothing = len(model.scores) - 1
-    for lo in range(0, len(order), chunk):
-        part = [i for i in order[lo : lo + chunk] if rows[i]]
-        if not part:
-            continue
+    for part in _chunks(rows, cells):
         n, t = len(part), max(len(rows[i]) for i in part)
         ids = np.full((n, t), nothing, np.int64)
         scripts = np.zeros((n, len(_SCRIPT_NO) + 1), bool)
@@ -174,9 +220,13 @@ def decode(rows: list[list[str]], model: WordModel, chunk: int = 1024) -> list[l
 
 
 def fit_on(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE) -> WordModel:
-    """A model fitted on `sample` labelled rows at most, chosen by a hash of their key."""
+    """A model fitted on `sample` labelled rows at most, chosen by a hash of their key; without labels on as many of any."""
     rows = bounded_sample(plain(df, k=key, t=text, l=lang).where("length(t) > 0 and length(l) > 0"), sample, "k", "t")
-    return fit([(r["t"], l) for r in rows if (l := label(r["l"]))])
+    known = [(r["t"], l) for r in rows if (l := label(r["l"]))]
+    if len(known) >= LEAST_LABELLED:
+        return fit(known)
+    every = bounded_sample(plain(df, k=key, t=text).where("length(t) > 0"), sample, "k", "t")
+    return fit_unlabelled([r["t"] for r in every]) if len(every) > 2 * len(known) else fit(known)
 
 
 def stretches(df: DataFrame, key: str = "bullet_id", text: str = "t", lang: str = "lang", model: WordModel | None = None) -> DataFrame:

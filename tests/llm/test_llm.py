@@ -395,6 +395,30 @@ def test_languages(spark, bullets, corpus):
     assert languages.label("zh-CN") == languages.label("ZHO") == "zh" and languages.label("und") is languages.label("") is languages.label(None) is None
 
 
+def test_languages_without_labels_and_of_uneven_length():
+    """Languages of one script told apart without a label; one very long text among short ones takes no more memory than itself."""
+    said = {
+        "en": "The fans of {} raised money for the library and they gave it to the children after the {} show",
+        "es": "Los fans de {} reunieron dinero para la biblioteca y lo dieron a los niños después de la gala {}",
+        "fr": "Les fans de {} ont réuni une somme pour la bibliothèque et les enfants après la soirée {}",
+        "pt": "Os fãs de {} reuniram dinheiro para a biblioteca e deram tudo às crianças depois da festa {}",
+        "id": "Para penggemar {} mengumpulkan uang untuk perpustakaan dan anak itu setelah acara {}",
+        "tl": "Ang mga tagahanga ng {} ay nagbigay ng pera para sa aklatan at sa mga bata noong {}",
+        "vi": "Người hâm mộ {} đã quyên góp tiền cho thư viện và các em nhỏ sau đêm diễn {}",
+        "tr": "{} hayranları kütüphane için para topladı ve bu para çocuklar için {} gecesi sonra verildi",
+        "ko": "{} 팬들이 도서관에 기부금을 전달했다 {}", "ru": "Фанаты {} собрали деньги для библиотеки {}", "zh": "{}的粉丝们为图书馆筹款{}", "ja": "{}のファンが図書館のために寄付した{}", "th": "แฟนคลับของ {} มอบเงินให้ห้องสมุด {}", "ar": "جمع معجبو {} المال للمكتبة {}",
+    }
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice(["ta", "vo", "ki", "re"]) for _ in range(3))
+    data = [(said[l].format(name(), name()), l) for l in said for _ in range(30)]
+    model = languages.fit_unlabelled([t for t, _ in data])
+    got = [languages.LANGS[s[0][0]] if len(s) == 1 else None for s in languages.decode(languages.tokens([t for t, _ in data]), model)]
+    assert sum(g == l for g, (_, l) in zip(got, data)) >= 0.98 * len(data)
+    mixed = [["the"] * 5] * 2000 + [["the", "fans"] * 100_000]
+    assert max((len(p) - 1) * max(len(mixed[i]) for i in p) for p in languages._chunks(mixed, languages.CELLS)) <= languages.CELLS
+    assert languages.decode(mixed, model)[-1] == languages.decode(mixed[-1:], model)[0]
+
+
 def test_raking():
     rnd = np.random.default_rng(2)
     tokens = rnd.integers(1, 100, 40).astype(float)
@@ -426,6 +450,11 @@ def test_mixtures(spark, tmp_path):
     assert (got[got.source == "small"].repeats == 2).all()
     s = mixing.shares(df, targets).toPandas().set_index("source")
     assert s.loc["small", "at_cap"] and not s.loc["big", "at_cap"] and s.loc["absent", "n_docs"] == 0 and abs(s.reached_share.sum() - 1) < 1e-9
+    small = s.loc["small"]
+    assert abs(small.asked_tokens - 0.2 * total) < 1 and abs(small.short_tokens - (small.asked_tokens - small.n_tokens)) < 1 and s.short_tokens["big"] < 0.01 * total
+    f = mixing.shares(df, targets, "feasible").toPandas().set_index("source")
+    assert abs(f.asked_tokens.sum() - f.feasible_total.iloc[0]) < 1 and f.feasible_total.iloc[0] < total
+    assert (abs(f.reached_share - f.target_share) < 0.02).all()  # at that size every share is met
     assert mixing.mixtures(df.limit(0), targets).count() == mixing.mixtures(df, targets.limit(0)).count() == 0
 
 
