@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -69,12 +70,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+def keep(df: DataFrame, what: str, sweep: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it again.
 
-    Unlike localCheckpoint the copy outlives any executor, and later readers get column pruning and pushdown.
+    Unlike localCheckpoint the copy outlives any executor, and later readers get column pruning and pushdown. With
+    `sweep` the driver collects its garbage first, so that the shuffle files of earlier plans that are kept by now are
+    removed before this one adds its own.
     """
     spark = df.sparkSession
+    if sweep:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
