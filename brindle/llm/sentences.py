@@ -24,11 +24,16 @@ from .io import arrow_map, bounded_sample, plain, slices
 
 #: Documents that the model is fitted on, the bound of the sample.
 SAMPLE = 3000
+#: Characters from which on a unit in a script without blanks is looked at for ends without marks.
+UNMARKED = 40
+#: How far the learned score of an end without a mark must lie above that of none.
+SURE = 0.0
 
 LIST_MARK = r"[ \t]*(?:[-•*‣◦▪·]|\(?\d{1,2}[.)])[ \t 　]+"
 _UNITS = re.compile(rf"[^\S\n]*\n(?:[^\S\n]*\n\s*|(?={LIST_MARK}))")
 _MARKED = re.compile(rf"\s*{LIST_MARK}")
 _MARKS = ".!?…。！？؟"
+_ANY_MARK = re.compile(f"[{_MARKS}]")
 _CLOSERS = "\"'”’»」』)）]】"
 _EVENT = re.compile(r"https?://[^\s()（）「」『』“”\"'<>]+|[.!?…。！？؟]+|[,、，،;；]|[\"“«「『‘']|[(（\[【]|(?<=[฀-๿])\s+(?=[฀-๿])")
 _PLAIN_EVENT = re.compile(r"[.!?…。！？؟\"“«「『‘'(（\[【฀-๿]")
@@ -55,6 +60,13 @@ def dense(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "一" <= c <= "鿿" or "㐀" <= c <= "䶿"
 
 
+_DENSE = re.compile("[぀-ヿ一-鿿㐀-䶿]")
+
+
+def mostly_dense(text: str, a: int, b: int) -> bool:
+    return bool(_DENSE.search(text, a, b)) and len(_DENSE.findall(text, a, b)) > 0.6 * (b - a)
+
+
 def before(text: str, i: int) -> tuple[str, str]:
     """The key of what stands before position i, and its shape: the word, or the last characters where words aren't set apart."""
     c = text[i - 1 : i]
@@ -161,6 +173,97 @@ def events(text: str, a: int, b: int) -> Iterator[tuple[str, int, int, bool]]:
             yield kind, i, at, False
 
 
+def stripped(text: str, a: int, b: int) -> tuple[str, list[int]]:
+    """The letters and digits of text[a:b], and the place of each."""
+    at = [i for i in range(a, b) if text[i].isalnum()]
+    return "".join(text[i] for i in at), at
+
+
+def unmarked(text: str, a: int, b: int) -> bool:
+    """Whether a unit is long, of a script without blanks (other than Thai), and without any mark that could end a sentence."""
+    return b - a >= UNMARKED and not _ANY_MARK.search(text, a, b) and mostly_dense(text, a, b)
+
+
+class Tagger:
+    """A linear chain over characters without punctuation: each is tagged as the first of a sentence or as inside one.
+
+    Emissions are log-odds of the runs of characters before and after, joined by logistic regression; transitions are
+    log-odds of a sentence's length so far, up to MOST characters, all counted on text whose punctuation was stripped.
+    """
+
+    MOST = 60
+
+    def __init__(self, rows: list[tuple[str, list[int]]]):
+        """Fitted on (stripped text, places of the firsts of sentences but for 0)."""
+        yes, no = Counter(), Counter()
+        last, lived = np.ones(self.MOST + 1), np.ones(self.MOST + 1) * 2
+        for s, firsts in rows:
+            ends = set(firsts)
+            at = 0
+            for p in range(1, len(s)):
+                n = min(p - at, self.MOST)
+                lived[n] += 1
+                (yes if p in ends else no).update(self._keys(s, p))
+                if p in ends:
+                    last[n] += 1
+                    at = p
+        n_yes, n_no = max(1, sum(len(f) for _, f in rows)), max(1, sum(max(0, len(s) - 1 - len(f)) for s, f in rows))
+        rate = n_yes / n_no
+        self.odds = {k: log((yes[k] + 0.5) / (no[k] + 0.5 / rate) / rate) for k in yes.keys() | no.keys() if yes[k] + no[k] >= 2}
+        self.prior = log(rate)
+        hazard = last / lived
+        smooth = np.convolve(np.pad(hazard, 2, "edge"), np.ones(5) / 5, "valid")
+        self.length = np.clip(np.log(np.maximum(smooth, 1e-4) / (1 - np.minimum(smooth, 0.99))) - self.prior, -6, 2)
+        self.weights = np.ones(6) * 0.5
+        x = [self._x(s, p) for s, _ in rows for p in range(1, len(s))]
+        if x:
+            x, y = np.array(x), np.concatenate([np.isin(np.arange(1, len(s)), f) for s, f in rows]).astype(float)
+            w = np.append(self.weights, self.prior)
+            x = np.column_stack([x, np.ones(len(x))])
+            for _ in range(15):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.eye(7)
+                w = w + np.linalg.solve(h, x.T @ (y - p) - np.append(w[:-1], 0) * 1.0)
+            self.weights, self.prior = w[:-1], float(w[-1])
+
+    @staticmethod
+    def _keys(s: str, p: int) -> tuple[str, ...]:
+        return "<" + s[max(0, p - 1) : p], "<" + s[max(0, p - 2) : p], "<" + s[max(0, p - 4) : p], ">" + s[p : p + 1], ">" + s[p : p + 2], ">" + s[p : p + 4]
+
+    def _x(self, s: str, p: int) -> list[float]:
+        return [self.odds.get(k, 0.0) for k in self._keys(s, p)]
+
+    def firsts(self, s: str) -> list[int]:
+        """The places at which sentences begin, other than 0, by Viterbi over place and length of the sentence so far."""
+        n, m = len(s), self.MOST
+        if n < 2:
+            return []
+        emit = np.array([self._x(s, p) for p in range(1, n)]) @ self.weights + self.prior - SURE
+        score = np.full(m + 1, -np.inf)
+        score[1] = 0.0  # one character of the sentence is there
+        begun = np.zeros(n, np.int32)  # length of the sentence before, where one begins
+        came = []  # for the longest state, whether it came from itself
+        for p in range(1, n):
+            begin = score + emit[p - 1] + self.length
+            k = int(begin.argmax())
+            begun[p] = k
+            stay = np.full(m + 1, -np.inf)
+            stay[2:] = score[1:-1]
+            came.append(bool(score[m] > score[m - 1]))
+            stay[m] = max(score[m - 1], score[m])
+            stay[1] = begin[k]
+            score = stay
+        out, p, k = [], n - 1, int(score.argmax())
+        while p > 0:
+            if k == 1:
+                out.append(p)
+                k = int(begun[p])
+            elif not (k == m and came[p - 1]):
+                k -= 1
+            p -= 1
+        return out[::-1]
+
+
 @dataclass
 class Model:
     """Log-odds of a boundary by what stands before and after, and the weights that join them."""
@@ -170,6 +273,7 @@ class Model:
     left_shape: dict[str, float] = field(default_factory=dict)
     right_shape: dict[str, float] = field(default_factory=dict)
     abbreviated: dict[str, float] = field(default_factory=dict)
+    tagger: Tagger | None = None
     weights: tuple[float, float, float] = (1.0, 1.0, 0.0)
 
     def context(self, text: str, i: int, j: int, end: int) -> tuple[float, float]:
@@ -266,12 +370,23 @@ def fit(texts: list[str]) -> Model:
                         w, s = before(text, p)
                         mids[w] += 1
 
+    unpunctuated = []  # text of scripts without blanks, its punctuation stripped, and where its sentences begin
+    for text in texts:
+        for a, b in units(text):
+            if mostly_dense(text, a, b):
+                marked = [q for kind, _, q, _ in events(text, a, b) if kind == "。" and q < b]
+                s, at = stripped(text, a, b)
+                if marked and len(s) > 10:
+                    unpunctuated.append((s, sorted({int(np.searchsorted(at, e)) for e in marked} - {0, len(s)})))
+
     def odds(yes: Counter, no: Counter, least: int) -> dict[str, float]:
         n, m = sum(yes.values()) + 1, sum(no.values()) + 1
         rate = n / m
         return {w: max(-5.0, min(5.0, log((yes[w] + 0.3) / (no[w] + 0.3 / rate) / rate))) for w in yes.keys() | no.keys() if yes[w] + no[w] >= least}
 
     model = Model(odds(ends, mids, 3), odds(starts, inner, 3), odds(end_shape, mid_shape, 1), odds(start_shape, inner_shape, 1))
+    if sum(len(f) for _, f in unpunctuated) >= 20:
+        model.tagger = Tagger(unpunctuated)
     base = (sum(ends.values()) + 1) / (sum(ends.values()) + sum(dotted.values()) + 1)
     by_lower = Counter()
     for w, n in ends.items():
@@ -326,6 +441,17 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
                     if not (kind == "。" and text[j : j + 1] in "、，,"):
                         cands.append((j, model.score(text, kind, i, j, b)))
         at = a
+        if not cands and model.tagger is not None and unmarked(text, a, b):
+            letters, places = stripped(text, a, b)
+            cuts = [places[p] for p in model.tagger.firsts(letters)]
+            for j in cuts:
+                end = j
+                while not text[end - 1].isalnum():
+                    end -= 1
+                out.append((at, end))
+                at = j
+            out.append((at, b))
+            continue
         for j in decode(cands, a) if cands else ():
             out.append((at, j))
             at = j

@@ -479,6 +479,29 @@ def test_sentences(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+def test_scripts_without_marks():
+    """Held-out text of scripts without blanks, its marks stripped, is split about where the marks were; headings stay whole."""
+    rnd = random.Random(4)
+    ja = ["{}のファンが駅前に{}枚の広告を出した", "{}によると来場者は{}人を超えたという", "主催者は{}の追加公演を発表している", "{}通の手紙が図書館に届いたと{}が伝えた", "商店街では{}の特別メニューが人気だ"]
+    zh = ["{}的粉丝在车站挂出{}块广告牌", "主办方统计到{}名访客来到现场", "据{}介绍活动持续了{}天", "当地面包店推出了{}纪念款", "志愿者为{}的图书馆整理了{}本书"]
+    name = lambda: "".join(rnd.choice("葵湊凛蒼朔楓暖琴澄梨") for _ in range(3))
+    say = lambda kinds: [rnd.choice(kinds).replace("{}", name(), 1).format(rnd.randint(2, 9999)) for _ in range(rnd.randint(2, 6))]
+    told = [say(k) for _ in range(150) for k in (ja, zh)]
+    model = sentences.fit(["。".join(x) + "。" for x in told[:200]])
+    good = got = want = 0
+    for x in told[200:]:
+        ends = set(np.cumsum([len(y) for y in x]).tolist())
+        text = "".join(x)
+        if len(text) < sentences.UNMARKED:
+            continue
+        cut = {b for _, b in sentences.sentences(text, model)}
+        good, got, want = good + len(cut & ends), got + len(cut), want + len(ends)
+    assert want > 200 and good > 0.9 * got and good > 0.9 * want
+    assert sentences.sentences("琴澄梨纪念活动公告", model) == [(0, 9)]
+    text = "。".join(told[0]) + "。"
+    assert len(sentences.sentences(text, model)) == len(told[0])  # marks decide where there are any
+
+
 def test_units_and_lists():
     t = "Title (2020)\n\nOne line\nof text.\n- first item\n- second\n2) third\n \n last "
     assert [t[a:b] for a, b in sentences.units(t)] == ["Title (2020)", "One line\nof text.", "first item", "second", "third", "last"]
