@@ -1,26 +1,30 @@
 """Problem 2: text that looks the same but is stored in different characters.
 
-Words are matched against a vocabulary trie by a weighted edit automaton in which look-alike letters and ignorable
-characters cost nothing; a match yields the vocabulary's spelling. Words without a match are spelled by a table.
+Stored words are walked, unfolded, through a vocabulary trie by a weighted edit automaton in which look-alike letters and
+ignorable characters cost nothing; a match yields the vocabulary's spelling. Words without a match are spelled by a table.
 Either way the outcome depends only on what the word looks like, so texts that look the same become equal.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import keep
-from .forms import CYRILLIC, CYRILLIC_AS, GREEK, LOOKS, _composed, compose, stored_forms
+from .forms import CYRILLIC, CYRILLIC_AS, GREEK, IGNORABLE, LOOKS, _composed, compose, stored_forms
 from .io import arrow_map, hash128, plain, slices
 
 #: Words of alphabets that have look-alikes in each other.
 WORD = re.compile("[A-Za-zÀ-ɏͰ-ϿЀ-ӿԚԛԜԝḀ-ỿ]+")
+_ASCII_TOKENS = re.compile("([A-Za-z]+)")
+ACCENTS = "\u0300-\u036f"
 _BACK = {b: a for a, b in zip(CYRILLIC, CYRILLIC_AS, strict=True) if a not in "ЅІЈԚԜҮЇЀѕіјԛԝүїѐ"}
 _GREEK = frozenset(GREEK)
 
@@ -41,8 +45,37 @@ def table_spelling(look: str) -> str:
     return look
 
 
+@cache
+def token_pattern() -> re.Pattern:
+    """Runs of stored characters that a word may be written in: its letters in any form, accents by themselves, and ignorables."""
+    chars = [c for c in map(chr, range(0x20000)) if not "\ud800" <= c <= "\udfff" and WORD.search(unicodedata.normalize("NFKD", c))]
+    spans: list[list[str]] = []
+    for c in chars:
+        if spans and ord(c) == ord(spans[-1][1]) + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    letters = "".join(f"{re.escape(x)}-{re.escape(y)}" for x, y in spans)
+    return re.compile(f"([{letters}{ACCENTS}{IGNORABLE}]+)")
+
+
+#: A stored character with what stands on it or shows nothing.
+_CLUSTER = re.compile(f"[{ACCENTS}{IGNORABLE}]*.[{ACCENTS}{IGNORABLE}]*|[{ACCENTS}{IGNORABLE}]+", re.S)
+_LABELS = re.compile(f".[{ACCENTS}]*", re.S)
+
+
+@lru_cache(1 << 16)
+def _labels(cluster: str) -> tuple[str, ...]:
+    """The edges that a stored character, with its accents, takes at no cost: none if it shows nothing, several if it stands for several letters."""
+    return tuple(_LABELS.findall(_look(cluster)))
+
+
 class Trie:
-    """Vocabulary by what its words look like; each end holds the spelling to use."""
+    """Vocabulary by what its words look like, an edge for each letter seen; each end holds the spelling to use.
+
+    A stored word is walked through it as it is. An edge is taken at no cost by every stored form of its letter:
+    look-alikes of other alphabets, compatibility forms, letters with their accents apart. Ignorables take no edge.
+    """
 
     __slots__ = ("root",)
 
@@ -50,36 +83,39 @@ class Trie:
         self.root: dict = {}
         for look, spelling in words:
             node = self.root
-            for c in look:
+            for c in _LABELS.findall(look):
                 node = node.setdefault(c, {})
             node[""] = spelling
 
     def match(self, word: str, budget: float = 0.0, other: float = 1.0) -> tuple[str, float] | None:
         """The spelling at the least weighted edit distance within `budget`, and that distance.
 
-        Look-alikes and ignorables cost 0, any other change, loss or addition of a character `other`. Ties go to the
+        Look-alikes and ignorables cost 0, any other change, loss or addition of a letter `other`. Ties go to the
         first spelling in code point order.
         """
-        look = _look(word)
         states: dict[int, tuple[dict, float]] = {id(self.root): (self.root, 0.0)}
-        for c in look:
+        for stored in word if word.isascii() else _CLUSTER.findall(word):
+            for c in (stored,) if stored.isascii() else _labels(stored):
+                if budget:
+                    states = self._closure(states, budget, other)
+                after: dict[int, tuple[dict, float]] = {}
+                for node, cost in states.values():
+                    steps = [(node[c], cost)] if c in node else []
+                    if cost + other <= budget:
+                        steps += [(node, cost + other)] + [(n, cost + other) for k, n in node.items() if k and k != c]
+                    for n, x in steps:
+                        if id(n) not in after or after[id(n)][1] > x:
+                            after[id(n)] = (n, x)
+                if not (states := after):
+                    return None
+        if budget:
             states = self._closure(states, budget, other)
-            after: dict[int, tuple[dict, float]] = {}
-            for node, cost in states.values():
-                steps = [(node[c], cost)] if c in node else []
-                if cost + other <= budget:
-                    steps += [(node, cost + other)] + [(n, cost + other) for k, n in node.items() if k and k != c]
-                for n, x in steps:
-                    if id(n) not in after or after[id(n)][1] > x:
-                        after[id(n)] = (n, x)
-            if not (states := after):
-                return None
-        ends = [(x, n[""]) for n, x in self._closure(states, budget, other).values() if "" in n]
+        ends = [(x, n[""]) for n, x in states.values() if "" in n]
         return min(ends)[::-1] if ends else None
 
     @staticmethod
     def _closure(states: dict, budget: float, other: float) -> dict:
-        """The states with characters of the vocabulary passed over."""
+        """The states with letters of the vocabulary passed over."""
         todo = list(states.values())
         while todo:
             node, cost = todo.pop()
@@ -131,28 +167,35 @@ class Canon:
     def __init__(self, words: list[tuple[str, str]]):
         self.trie, self.known = Trie(words), {}
 
-    def word(self, w: str) -> str:
+    def token(self, w: str) -> str:
+        """The spelling of a stored word: the vocabulary's, or else by table."""
         if (x := self.known.get(w)) is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            m = self.trie.match(w)
-            x = self.known[w] = m[0] if m else table_spelling(_look(w))
+            if m := self.trie.match(w):
+                x = m[0]
+            elif WORD.fullmatch(s := _accents(compose(w))):
+                x = table_spelling(_look(s))
+            else:  # several words, as where one character stands for letters and marks
+                x = WORD.sub(lambda m: self.token(m[0]), s)
+            self.known[w] = x
         return x
 
     def text(self, t: str | None) -> str | None:
         if t is None:
             return None
-        s = " ".join(compose(t).split())
-        word = self.word
-        return WORD.sub(lambda m: word(m[0]), _accents(s))
+        parts = (_ASCII_TOKENS if t.isascii() else token_pattern()).split(t)
+        parts[1::2] = map(self.token, parts[1::2])
+        if not t.isascii():
+            parts[::2] = map(compose, parts[::2])
+            return " ".join(unicodedata.normalize("NFC", "".join(parts)).split())
+        return " ".join("".join(parts).split())
 
 
 def _accents(s: str) -> str:
     """Accents that stand after a look-alike letter joined with the letter it looks like."""
     if s.isascii() or not any("̀" <= c <= "ͯ" for c in s):
         return s
-    import unicodedata
-
     out = list(s)
     for i, c in enumerate(out):
         if i and "̀" <= c <= "ͯ" and ord(out[i - 1]) in LOOKS:

@@ -98,6 +98,23 @@ def test_trie_automaton():
     assert trie.match("lettr", budget=1.0) == ("letter", 1.0)
     assert trie.match("litter", budget=1.0) == ("latter", 1.0)
     assert lookalikes.table_spelling("Гpaд") == "Град"
+    # stored forms are walked as they are: full width, zero width, accents apart or on a look-alike, a ligature
+    trie = lookalikes.Trie([("fiancé", "fiancé"), ("poct", "рост")])
+    for w in ("ﬁancé", "ｆｉａｎｃé", "fi\u200bance\u0301", "fiаncе\u0301", "f\u00adiancе\u200d\u0301"):
+        assert trie.match(w) == ("fiancé", 0.0), w
+    assert trie.match("ро\u2060ｓt") is None and trie.match("ро\u2060ｓt", budget=1.0) == ("рост", 1.0) and trie.match("ｐоct") == ("рост", 0.0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aeoсаеéё́̈\u200b ﬁｆf㎏kg℀/≠≠가가1.-ÅÅ", max_size=12))
+def test_canonical_form_goes_by_the_look_alone(t):
+    """However a text is stored, with its vocabulary or without, its form is that of its composed, decomposed and plainest spelling."""
+    for words in ([], [("fae", "faе"), ("kg", "kg"), ("a", "а"), ("ae", "ае")]):
+        canon = lookalikes.Canon(words)
+        want = canon.text(t)
+        for form in ("NFC", "NFD", "NFKC", "NFKD"):
+            assert canon.text(unicodedata.normalize(form, t)) == want
+        assert canon.text(forms.skeletons([t])[0]) == want and canon.text("\u200b".join(t) if not any("\u0300" <= c <= "\u036f" for c in t) else t) == want
 
 
 def test_same_looking_pairs(spark, bullets, corpus):
