@@ -20,13 +20,13 @@ def hash128(s: str | bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "t") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that none has many more than SLICE_CHARS bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "t", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none has many more than `most` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
         size = b.column(b.schema.get_field_index(text)).nbytes
-        n = max(1, min(b.num_rows, b.num_rows * SLICE_CHARS // max(size, 1)))
+        n = max(1, min(b.num_rows, b.num_rows * most // max(size, 1)))
         for i in range(0, b.num_rows, n):
             yield b.slice(i, n)
 

@@ -2,8 +2,9 @@
 
 Of every item, runs of SEED characters are chosen as seeds, of each stretch of STRETCH characters the one that is rarest
 in the corpus. The seeds are so short that some survive between edits ten characters apart, and the stretches so short that
-a run as long as the shortest leak holds two at least. The corpus is scanned for the seeds once; where several meet
-along about the same diagonal, document and item are aligned by Smith-Waterman, which also scores copies that were edited.
+a run as long as the shortest leak holds a chain of them. Where a chain is met, the shared run is measured; where a document
+shares enough of the item's runs in a band, or a leak, the two are aligned by Smith-Waterman along the diagonals on which they
+lie, which also scores copies that were edited.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 BAND = 48
 #: The least share of the best possible score at which an alignment without a long shared run is reported.
 EDITED = 0.5
-#: The share of an item's seeds, and the number of them, that must meet in a band for an alignment; an edited copy that reaches EDITED has about three times as many.
-EVIDENCE, LEAST_SEEDS = 0.15, 3
+#: The share of an item's runs of seed length, and the number of them, that a document must share for an alignment. Of a
+#: copy with an edit every ten characters about a fifth survive.
+EVIDENCE, LEAST_RUNS = 0.12, 6
+#: Bytes of text that are compared with the items at once.
+SLICE = 500_000
 
 
 @dataclass
@@ -79,8 +83,8 @@ def item_grams(texts: list[np.ndarray], dense: list[bool]) -> list[Seeds]:
     return out
 
 
-def choose(seeds: Seeds, count: np.ndarray, run: int) -> Seeds:
-    """The rarest seed, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter), however common it is."""
+def choose(seeds: Seeds, count: np.ndarray, run: int) -> np.ndarray:
+    """Which runs are seeds: the rarest, of those that do occur, of every stretch of `run` characters of each item (of the whole item if it is shorter), however common it is."""
     keep = np.zeros(len(seeds.hashes), bool)
     never = np.iinfo(np.int64).max
     count = np.where(count > 0, count, never)
@@ -91,7 +95,7 @@ def choose(seeds: Seeds, count: np.ndarray, run: int) -> Seeds:
         view = np.lib.stride_tricks.sliding_window_view(c, w)
         best = view.argmin(1) + np.arange(len(view))
         keep[part[np.unique(best[c[best] < never])]] = True
-    return Seeds(seeds.width, seeds.hashes[keep], seeds.item[keep], seeds.at[keep])
+    return keep
 
 
 def longest_equal(a: np.ndarray, b: np.ndarray, diagonal: int) -> int:
@@ -141,13 +145,17 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[tuple
 _WIDE = 1 << 32
 
 
-def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.ndarray], runs: list[int]) -> DataFrame:
-    n_seeds = sum((np.bincount(s.item, minlength=len(ids)) for s in seeds), np.zeros(len(ids), np.int64))
-    need = np.maximum(LEAST_SEEDS, np.ceil(EVIDENCE * n_seeds)).astype(np.int64)
+def _scan(docs: DataFrame, runs_of: list[Seeds], seeds: list[np.ndarray], ids: list[int], texts: list[np.ndarray], runs: list[int]) -> DataFrame:
+    n_runs = sum((np.bincount(s.item, minlength=len(ids)) for s in runs_of), np.zeros(len(ids), np.int64))
+    need = np.maximum(LEAST_RUNS, np.ceil(EVIDENCE * n_runs)).astype(np.int64)
+    thick = np.array([r == RUN_DENSE for r in runs], bool)
+    # how far seeds of neighbouring stretches are apart at most, and between the first and the last of a shortest leak at least
+    gap = np.where(thick, STRETCH_DENSE - SEED_DENSE + 1, STRETCH - SEED + 1)
+    span = np.where(thick, RUN_DENSE - SEED_DENSE, RUN - SEED) - 2 * (gap - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [s.bitmap() for s in seeds]
-        for b in slices(batches):
+        maps = [s.bitmap() for s in runs_of]
+        for b in slices(batches, most=SLICE):
             keys = b.column(0).to_pylist()
             bare = Bare(b.column(1).to_pylist())
             ends = bare.ends
@@ -157,42 +165,64 @@ def _scan(docs: DataFrame, seeds: list[Seeds], ids: list[int], texts: list[np.nd
             rows = {x[0]: x for x in same.values()}
             first = np.zeros(len(keys), bool)
             first[list(rows)] = True
-            met = []
-            for s, bits in zip(seeds, maps):
+            met, every = [], []
+            for s, some, bits in zip(runs_of, seeds, maps):
                 g, row, at = grams(bare.arr, bare.starts, bare.lens, s.width)
                 own = first[row]
                 g, row, at = g[own], row[own], at[own]
                 where, which = s.hits(g, bits)
-                met.append((row[where] * len(ids) + s.item[which], at[where] - bare.starts[row[where]] - s.at[which]))
-            pair, diagonal = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
-            # (pair, diagonal) in one number, in order; how many seeds meet on it, and within a band from it on
-            line = np.sort(pair * _WIDE + diagonal + _WIDE // 2)
-            lines, n_on = np.unique(line, return_counts=True)
-            within = np.searchsorted(line, lines + BAND, "right") - np.searchsorted(line, lines)
-            pair = lines // _WIDE
-            good = (n_on >= 2) | (within >= need[pair % len(ids)])
-            wanted = np.unique(pair[good])
-            use = np.isin(pair, wanted)
+                line = row[where] * len(ids) + s.item[which], at[where] - bare.starts[row[where]] - s.at[which], s.at[which]
+                every.append(line)
+                rare = some[which]
+                met.append(tuple(x[rare] for x in line))
+            pair, diagonal, at = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
+            line = pair * _WIDE + diagonal + _WIDE // 2  # pair and diagonal in one number
+            order = np.lexsort((at, line))
+            line, at = line[order], at[order]
+            item = line // _WIDE % len(ids)
+            # chains of neighbouring seeds on a diagonal; those within a shared run are whole but for less than a stretch at either end
+            begin = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (np.diff(at) > gap[item[1:]])])) if len(line) else np.zeros(0, np.int64)
+            end = np.append(begin[1:], len(line))[: len(begin)] - 1
+            long = at[end] - at[begin] >= span[item[begin]]
+            longest: dict[int, int] = {}
+            for x in np.unique(line[begin[long]]).tolist():
+                k, d = x // _WIDE, x % _WIDE - _WIDE // 2
+                r = k // len(ids)
+                doc = bare.arr[int(bare.starts[r]) : int(ends[r])]
+                longest[k] = max(longest.get(k, 0), longest_equal(doc, texts[k % len(ids)], d))
+            # pairs that share enough of the item's runs, and that do so within a band of diagonals
+            every_pair = np.concatenate([x[0] for x in every]) if every else np.zeros(0, np.int64)
+            tally = np.bincount(every_pair, minlength=len(keys) * len(ids))
+            wanted = np.union1d(np.flatnonzero(tally >= np.tile(need, len(keys))), [k for k, n in longest.items() if n >= runs[k % len(ids)]]).astype(np.int64)
+            use = np.flatnonzero(np.isin(every_pair, wanted))
+            line = np.sort(every_pair[use] * _WIDE + np.concatenate([x[1] for x in every])[use] + _WIDE // 2) if every else every_pair
+            within = np.searchsorted(line, line + BAND, "right") - np.arange(len(line))
+            item = line // _WIDE % len(ids)
+            close = within >= need[item]
+            known = np.array([k for k, n in longest.items() if n >= runs[k % len(ids)]], np.int64)
+            use = np.flatnonzero(np.isin(line // _WIDE, np.union1d(line[close] // _WIDE, known)))
             todo, pairs, bands, owner = [], [], [], []
-            for k, part in zip(wanted.tolist(), np.split(np.flatnonzero(use), np.flatnonzero(np.diff(pair[use])) + 1)) if len(wanted) else ():
-                r, item = divmod(k, len(ids))
+            for part in np.split(use, np.flatnonzero(np.diff(line[use] // _WIDE)) + 1) if len(use) else ():
+                k = int(line[part[0]] // _WIDE)
+                r, i = divmod(k, len(ids))
                 doc = bare.arr[int(bare.starts[r]) : int(ends[r])]
-                d = lines[part] % _WIDE - _WIDE // 2
-                longest = max((longest_equal(doc, texts[item], int(x)) for x in d[n_on[part] >= 2]), default=0)
-                if longest < runs[item] and len(doc) < EDITED * len(texts[item]):
+                leaked = longest.get(k, 0) >= runs[i]
+                if not leaked and len(doc) < EDITED * len(texts[i]):
                     continue  # an alignment scores MATCH for each character of the document at most
+                d, n = np.unique(line[part] % _WIDE - _WIDE // 2, return_counts=True)
+                strong = np.isin(d, line[part][close[part]] % _WIDE - _WIDE // 2) | (leaked & (n == n.max()))
                 last = None
-                for x, n in zip(d.tolist(), (good[part]).tolist()):  # one band for diagonals that an alignment can join
+                for x, good in zip(d.tolist(), strong.tolist()):  # one band for diagonals that an alignment can join
                     if last is not None and x - last <= BAND:
                         bands[-1] = (bands[-1][0], x + BAND)
-                    elif n:
-                        pairs.append((texts[item], doc))
+                    elif good:
+                        pairs.append((texts[i], doc))
                         bands.append((x - BAND, x + BAND))
                         owner.append(len(todo))
                     else:
                         continue
                     last = x
-                todo.append((r, item, longest))
+                todo.append((r, i, longest.get(k, 0)))
             score = np.zeros(len(todo), np.int64)
             np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
             share = [float(x) / (MATCH * len(texts[t[1]])) for x, t in zip(score, todo)]
@@ -254,7 +284,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
         every = item_grams(texts, langs)
         runs = [RUN_DENSE if d else RUN for d in langs]
         chosen = [choose(s, n, STRETCH if s.width == SEED else STRETCH_DENSE) for s, n in zip(every, _count(src, every))]
-        return _scan(src, chosen, ids, texts, runs)
+        return _scan(src, every, chosen, ids, texts, runs)
 
     for r in plain(items, i=item, p=passage, l=lang).distinct().toLocalIterator():  # the items pass the driver block by block
         if r["i"] is None or not r["p"]:
