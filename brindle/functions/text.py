@@ -52,7 +52,7 @@ def strip_particle(w: Column, particles: list[str] | None = None) -> Column:
 def keep_word(w: Column, stop: list[str] | None = None, stop_lower: list[str] | None = None) -> Column:
     """Whether a token is kept: two characters or more, no stop word (in its own case, and in lower case), not only digits."""
     stop = V.STOP_KO + V.STOP_KO_MORE if stop is None else stop
-    lower = V.STOP_EN + V.STOP_RU if stop_lower is None else stop_lower
+    lower = V.STOP_EN + V.STOP_EN_MORE + V.STOP_LATIN + V.STOP_RU if stop_lower is None else stop_lower
     return (F.length(w) >= 2) & ~w.isin(*stop) & ~F.lower(w).isin(*lower) & ~w.rlike("^\\p{Nd}+$")
 
 
@@ -145,9 +145,10 @@ def mention_after_break(t: Column, word: str) -> Column:
 
 
 def positions(t: Column, word: str) -> Column:
-    """The places, from 1, at which a word occurs."""
-    n = F.length(t) - len(word) + 1
-    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(t, p, F.lit(len(word))) == word))
+    """The places, from 1, at which a word occurs, without overlap, from the lengths of what stands between."""
+    before = F.slice(F.split(t, literal(word), -1), 1, F.greatest(F.size(F.split(t, literal(word), -1)) - 1, F.lit(0)))
+    step = lambda acc, part: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(word), F.lit(1)) + F.length(part))
+    return F.aggregate(before, F.array().cast("array<int>"), step)
 
 
 def around(t: Column, at: Column, before: int, after: int) -> Column:

@@ -12,6 +12,22 @@ STOP_EN = (
     "all each other another both few new first second third one two three said says according announced reported included including have has had will would can could should may might did does do "
     "an a are about officially recently previously currently"
 ).split()
+STOP_EN_MORE = (
+    "through without within against toward towards upon until once every same own only just still even yet here there how why because around again later early last next them him "
+    "itself himself herself themselves due along behind beyond despite although though whether either neither nor however therefore thus already till various several"
+).split()
+STOP_LATIN = (
+    "el la los las de del en un una que por para con su sus es se lo al y o como más le les des et une dans sur avec pour au aux du est ce qui ne pas plus son sa ses "
+    "os as um uma do da dos das no na nos nas é não com mais ao são foi ser também pelo pela "
+    "yang dan di ke dari untuk pada dengan ini itu juga akan telah adalah oleh sebagai tidak ada tersebut sekali boleh benar sudah saat hingga karena tentang seperti bahwa agar namun atau tetapi jika "
+    "kami kita mereka dia ia anda saya lebih bisa harus và của là có cho trong được này với các những một đã để từ không khi tại về người rất cũng trên nhiều sẽ bị "
+    "ve bir bu için ile olarak gibi daha çok ise ya ama ang ng mga ay at si ni kay ito"
+).split()
+STOP_JA = "する いる ある こと もの ため よう これ それ あれ この その なる できる という いう さん たち ない くる いく みる しまう くれる もらう ところ とき ほう".split()
+STOP_ZH = (
+    "的 了 在 是 和 与 也 都 就 而 及 或 对 但 而且 因为 所以 一个 这个 那个 为 被 着 地 得 很 又 并 以 之 其 此 有 我 你 他 她 它 们 这 那 个 上 下 中 不 人 会 可以 "
+    "到 从 把 将 于 所 等 但是 还 还是 已 已经 没有 什么 怎么 如何 于是 因此"
+).split()
 STOP_RU = "и в не на что с по для как это к из за от но а же то его её их он она они мы вы я у о об до при бы ли так все этот эта эти также или уже ни этом том после когда этой".split()
 
 # Words that raise the score of an item, by kind of evidence, and the weights of the score.

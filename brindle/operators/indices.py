@@ -78,6 +78,44 @@ def match_class(t: Column, at: Column, word: str, exclude: str | None, context:
     return F.when(t.rlike(exclude), "common").otherwise(out) if exclude else out
 
 
+def reassigned(t: Column, at: Column, region: str, rules: list[tuple[str, str, str | None]], before: int = 6, after: int = 8) -> Column:
+    """The region that a hit on a name shared by several stands for: the first of the rules (other region, pattern, unless) whose pattern is in the window around the hit and whose `unless` isn't, else its own."""
+    near = T.around(t, at, before, after)
+    out = F
+    for other, pattern, unless in rules:
+        out = out.when(near.rlike(pattern) & (~near.rlike(unless) if unless else F.lit(True)), other)
+    return out.otherwise(region) if rules else F.lit(region)
+
+
+def _classed(t: Column, word: str, exclude: str | None, context: str) -> Column:
+    """The hits of a word with their class."""
+    return F.transform(T.positions(t, word), lambda p: F.struct(p.alias("at"), match_class(t, p, word, exclude, context).alias("class")))
+
+
+def region_mentions(items: DataFrame, regions: dict[str, list[str]], context: str, exclude: dict[str, str] | None = None, rules: dict[str, list[tuple[str, str, str | None]]] | None = None) -> DataFrame:
+    """(bullet_id, entity, region, class, strict_region) of every item and region named in it.
+
+    The class is the best of all hits, place before uncertain before common. The strict region is null for a common
+    word, else the region, or the one that the first hit, by the order of the keywords, is reassigned to.
+    """
+    t, out = F.col("t"), None
+    for region, words in regions.items():
+        hits = F.concat(*[_classed(t, w, (exclude or {}).get(w), context) for w in words])
+        seen = items.where(T.any_of(t, words)).withColumn("_h", hits)
+        has = lambda c: F.exists("_h", lambda h: h["class"] == c)
+        best = F.when(has("place"), "place").when(has("uncertain"), "uncertain").otherwise("common")
+        to = reassigned(t, F.get("_h", F.lit(0))["at"], region, (rules or {}).get(region, []))
+        part = seen.select("bullet_id", "entity", F.lit(region).alias("region"), best.alias("class"), F.when(best != "common", to).alias("strict_region"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def strict_index(mentions: DataFrame, order: list[str]) -> DataFrame:
+    """(entity, strict_total, strict_regions_hit, strict_diversity, strict_primary) over mentions that aren't common words, by strict region."""
+    d = diversity(mentions.where("strict_region is not null").select("entity", F.col("strict_region").alias("region")), "region", len(order), order)
+    return d.select("entity", F.col("mentions").alias("strict_total"), F.col("n_tags_hit").alias("strict_regions_hit"), F.col("diversity").alias("strict_diversity"), F.col("primary").alias("strict_primary"))
+
+
 def mention_type(t: Column, first: str, second: str) -> Column:
     return F.when(t.rlike(first), "hometown").when(t.rlike(second), "activity").otherwise("other")
 

@@ -179,11 +179,17 @@ def percentile_ci(df: DataFrame, col: str, lo: float = 0.025, hi: float = 0.975)
 # --- robust fits and normality, on a bounded number of points at the driver ---
 
 
-def design(df: DataFrame, y: str, xs: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """The variables of a small table as arrays, with a constant; more than `most` rows are refused."""
-    rows = df.select(y, *xs).na.drop().limit(most + 1).toPandas().to_numpy(float)
+def bounded(df: DataFrame, most: int = 100_000):
+    """A small table at the driver; more than `most` rows are refused."""
+    rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows; aggregate first")
+    return rows
+
+
+def design(df: DataFrame, y: str, xs: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The variables of a small table as arrays, with a constant; more than `most` rows are refused."""
+    rows = bounded(df.select(y, *xs).na.drop(), most).to_numpy(float)
     return rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
 
 

@@ -29,7 +29,8 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def scores(spark, d) -> DataFrame:
-    return S.normalized(S.entity_scores(bullets(spark, d)))
+    """The scores of entities, a row each, kept, so that whatever uses them several times reads the items once."""
+    return S.normalized(keep(S.entity_scores(bullets(spark, d)), "scores"))
 
 
 # --- items and scores ---
@@ -90,7 +91,7 @@ def coverage(spark, d):
 @query("index_card", f"{SCORES}, {_COVERAGE} SELECT entity, loyalty_raw, spillover_raw, activity, round(loyalty_score, 6) AS loyalty_score, round(spillover_score, 6) AS spillover_score, {_QUAD} AS quadrant, round(coverage::DOUBLE, 6) AS coverage FROM n JOIN cv USING (entity)")
 def index_card(spark, d):
     """The flagship: raw and scaled scores, quadrant and coverage of every entity."""
-    n = keep(scores(spark, d), "scores")  # a row an entity, used three times
+    n = scores(spark, d)
     c = S.coverage(bullets(spark, d)).select("entity", "coverage")
     out = n.join(S.quadrants(n), "entity").join(c, "entity")
     return r6(out.select("entity", "loyalty_raw", "spillover_raw", "activity", "loyalty_score", "spillover_score", "quadrant", "coverage"), "loyalty_score", "spillover_score", "coverage")
@@ -370,10 +371,10 @@ _AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1)
 
 @query("snapshot_compare", f"WITH {ITEMS}, {SCORED}, {_LENGTHS}, a AS (SELECT entity, sum(score10) / 10.0::DOUBLE AS x FROM s GROUP BY entity), p AS (SELECT entity, sum(score10) / 10.0::DOUBLE AS y FROM s JOIN lens USING (entity, kind) WHERE idx < n1 GROUP BY entity), j AS (SELECT * FROM a JOIN p USING (entity)), k AS (SELECT *, {_AVG_RANK.format('x')} AS rx, {_AVG_RANK.format('y')} AS ry, row_number() OVER (ORDER BY x DESC, entity) AS tx, row_number() OVER (ORDER BY y DESC, entity) AS ty FROM j) SELECT count(*) AS n, round(corr(x, y), 6) AS r, round(corr(rx, ry), 6) AS rank_rho, count(*) FILTER (tx <= 15 AND ty <= 15) AS top_overlap FROM k")
 def snapshot_compare(spark, d):
-    s = S.item_scores(bullets(spark, d))
-    total = lambda x: x.groupBy("entity").agg((F.sum("score10") / 10.0).alias("score"))
-    early = L.prefix(s, _lengths(spark, d).select("entity", "kind", F.col("n1").alias("n")))
-    return r6(L.compare_scores(total(s), total(early)), "r", "rank_rho")
+    s = keep(S.item_scores(bullets(spark, d)).select("entity", "kind", "idx", "score10"), "scored")  # texts are read once
+    total = lambda x: keep(x.groupBy("entity").agg((F.sum("score10") / 10.0).alias("score")), "totals")
+    n1 = s.groupBy("entity", "kind").agg(F.floor(F.count("*") * 2 / 5).alias("n"))
+    return r6(L.compare_scores(total(s), total(L.prefix(s, n1))), "r", "rank_rho")
 
 
 @query("gate", "WITH s AS (SELECT vec_id, label, vec_id % 10 AS seed, label % 2 AS corpus, 8 + 2 * (label % 3) AS k, abs(embedding[1]) AS sil, 4 + vec_id % 5 AS best_m, abs(embedding[1]) + abs(embedding[2]) / 10 AS best_sil, abs(embedding[3]) * 4 AS jac FROM embeddings), m AS (SELECT corpus, k, best_m, count(*) AS n FROM s GROUP BY ALL), mode AS (SELECT corpus, k, first(best_m ORDER BY n DESC, best_m) AS mode_m FROM m GROUP BY ALL), g AS (SELECT corpus, k, median(sil) AS ms, median(jac) AS mj, median(best_sil) AS mb FROM s GROUP BY ALL), f AS (SELECT *, ms >= 0.08 AS g1, mj >= 0.35 AS g2, mode_m = 5 OR ms >= 0.9 * mb AS g3 FROM g JOIN mode USING (corpus, k)) SELECT corpus::INT AS corpus, k::INT AS k, round(ms::DOUBLE, 6) AS median_sil, round(mj::DOUBLE, 6) AS median_jaccard, mode_m::INT AS mode_m, g1, g2, g3, g1 AND g2 AND g3 AS passed FROM f")
@@ -420,7 +421,7 @@ def _pseudo_topics(spark, d):
     b = bullets(spark, d).where("category is not null")
     docs = b.select(F.col("bullet_id").alias("doc"), "category", T.find_all(F.lower("t"), "[\\p{L}\\p{N}_]{3,}").alias("words"))
     n = docs.select("doc", F.col("category").alias("topic"), F.explode(F.array_distinct("words")).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
-    return docs, R.top_each(n, ["topic"], 8, F.desc("n"), F.asc("term")).select("topic", "term", "rank")
+    return docs, keep(R.top_each(n, ["topic"], 8, F.desc("n"), F.asc("term")).select("topic", "term", "rank"), "topics")
 
 
 @query("umass_coherence", f"WITH {ITEMS}, {_DOCS}, oc AS (SELECT DISTINCT doc, term FROM dt WHERE term IN (SELECT term FROM tp)), df AS (SELECT term, count(*) AS df FROM oc GROUP BY term), pr AS (SELECT x.topic, x.term AS lo, y.term AS hi FROM tp x JOIN tp y ON x.topic = y.topic AND x.rank > y.rank), co AS (SELECT p.term AS lo, q.term AS hi, count(*) AS co FROM oc p JOIN oc q ON p.doc = q.doc AND p.term <> q.term GROUP BY ALL) SELECT topic, round(avg(ln((coalesce(co, 0) + 1) / df)), 6) AS coherence FROM pr LEFT JOIN co USING (lo, hi) JOIN df ON df.term = lo GROUP BY topic")
@@ -490,9 +491,8 @@ def lda_grid(spark, d):
 def meta_clusters(spark, d):
     """Labels of the vectors clustered by the cosine of their means: (label, cluster, height at which it joins)."""
     _, c = _centroids(spark, d)
-    rows = c.orderBy("label", "i").collect()  # labels x dimensions
-    names = sorted({r["label"] for r in rows})
-    x = np.array([[r["m"] for r in rows if r["label"] == n] for n in names])
+    rows = ST.bounded(c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda v: v["m"]).alias("m")).orderBy("label"), 5_000)
+    names, x = rows["label"].tolist(), np.array(rows["m"].tolist())
     dist = TP.cosine_distances(x)
     m, _ = TP.choose_m(dist, range(2, 6))
     merges = TP.linkage(dist)
@@ -506,7 +506,8 @@ def meta_clusters(spark, d):
 @query("profile_map")
 def profile_map(spark, d):
     """Two principal components of the entities' factor shares."""
-    wide = shares(spark, d).groupBy("entity").pivot("factor", list(FACTORS.values())).agg(F.first("share")).na.fill(0.0).orderBy("entity").limit(100_000).toPandas()  # a roster of entities
+    wide = shares(spark, d).groupBy("entity").pivot("factor", list(FACTORS.values())).agg(F.first("share")).na.fill(0.0)
+    wide = ST.bounded(wide.orderBy("entity"))
     xy = TP.pca2(wide[list(FACTORS.values())].to_numpy())["xy"]
     return spark.createDataFrame([(e, float(a), float(b)) for e, (a, b) in zip(wide["entity"], xy)], "entity string, x double, y double")
 
@@ -514,7 +515,7 @@ def profile_map(spark, d):
 @query("robust_slopes")
 def robust_slopes(spark, d):
     """Slopes of spillover on loyalty and activity by least squares, Huber, medians, and without influential entities; whether all agree in sign."""
-    n = keep(scores(spark, d), "scores")
+    n = scores(spark, d)
     trimmed = n.join(ST.cooks(n, "entity", "spillover_score", "loyalty_score").where("influential").select("entity"), "entity", "left_anti")
     y, x = ST.design(n, "spillover_score", ["loyalty_score", "activity"])
     yt, xt = ST.design(trimmed, "spillover_score", ["loyalty_score", "activity"])
@@ -525,19 +526,53 @@ def robust_slopes(spark, d):
 
 # --- resampling ---
 
+# draws by MD5, as hash_place() makes them
+_DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+_BOOT = f"""o AS (SELECT *, row_number() OVER (ORDER BY entity) - 1 AS pos FROM n), k AS (SELECT count(*) AS k FROM n), dr AS (SELECT id // k AS rep, {_DRAW.format("id::VARCHAR || '|0'")} % k AS pos FROM k, (SELECT unnest(range(2000 * (SELECT k FROM k))) AS id)),
+ bs AS (SELECT rep, o.* EXCLUDE (pos) FROM dr JOIN o USING (pos))"""
+
 
-@query("bootstrap_r")
+@query("bootstrap_r", f"{SCORES}, {_BOOT}, r AS (SELECT corr(loyalty_score, spillover_score) AS r FROM bs GROUP BY rep) SELECT round(avg(r), 6) AS mean_r, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM r")
 def bootstrap_r(spark, d):
-    return RS.bootstrap_r(spark, scores(spark, d).select("entity", "loyalty_score", "spillover_score"), "loyalty_score", "spillover_score")
+    return r6(RS.bootstrap_r(spark, scores(spark, d).select("entity", "loyalty_score", "spillover_score"), "loyalty_score", "spillover_score"), "mean_r", "lo", "hi")
 
 
-@query("bootstrap_difference")
+@query("bootstrap_difference", f"{SCORES}, {_BOOT}, r AS (SELECT corr(loyalty_score, spillover_score) - corr(loyalty_raw, activity) AS d FROM bs GROUP BY rep) SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM r")
 def bootstrap_difference(spark, d):
     n = scores(spark, d).select("entity", "loyalty_score", "spillover_score", "loyalty_raw", F.col("activity").cast("double").alias("activity"))
-    return RS.paired_difference(spark, n, ("loyalty_score", "spillover_score"), ("loyalty_raw", "activity"))
+    return r6(RS.paired_difference(spark, n, ("loyalty_score", "spillover_score"), ("loyalty_raw", "activity")), "mean", "lo", "hi")
+
+
+_MET = {"r": "abs(r) < 0.5", "chi2_p": "chi2 > 3.841458820694124", "z_loyalty": "z_loyalty < 0", "z_spillover": "z_spillover > 0"}
+_STATS = f"""{SCORES}, {SHARES}, dv AS (SELECT entity, -sum(share * ln(share)) / ln(5) AS dv FROM sh GROUP BY entity), n2 AS (SELECT entity, loyalty_score AS l, spillover_score AS s, activity::DOUBLE AS a, coalesce(dv, 0) AS d FROM n LEFT JOIN dv USING (entity)),
+ {_BOOT.replace("FROM n)", "FROM n2)").replace("FROM n),", "FROM n2),")}, al AS (SELECT * FROM bs UNION ALL SELECT -1, * FROM n2),
+ rk AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY l) + (count(*) OVER (PARTITION BY rep, l) - 1) / 2.0 AS rl, rank() OVER (PARTITION BY rep ORDER BY s) + (count(*) OVER (PARTITION BY rep, s) - 1) / 2.0 AS rs FROM al),
+ cv AS (SELECT rep, corr(l, s) AS r, corr(rl, rs) AS rho, {', '.join(f'covar_pop({x}, {y}) AS {x}{y}' for x, y in ('ll', 'ls', 'la', 'ss', 'sa', 'aa', 'dl', 'ds', 'dd'))}, count(*) FILTER (l >= 0.5 AND s >= 0.5) AS p, count(*) FILTER (l >= 0.5 AND s < 0.5) AS q, count(*) FILTER (l < 0.5 AND s >= 0.5) AS u, count(*) FILTER (l < 0.5 AND s < 0.5) AS v FROM rk GROUP BY rep),
+ st AS (SELECT rep, r, rho, (ls * aa - sa * la) / nullif(ll * aa - la * la, 0) AS mr_loyalty, (sa * ll - ls * la) / nullif(ll * aa - la * la, 0) AS mr_activity, (dl * ss - ds * ls) / nullif(ll * ss - ls * ls, 0) AS z_loyalty, (ds * ll - dl * ls) / nullif(ll * ss - ls * ls, 0) AS z_spillover, dl, ds, dd,
+  (p + q + u + v)::DOUBLE * greatest(abs(p * v - q * u)::DOUBLE - (p + q + u + v) / 2, 0) ** 2 / nullif(((p + q) * (u + v) * (p + u) * (q + v))::DOUBLE, 0) AS chi2 FROM cv), sx AS (SELECT *, (z_loyalty * dl + z_spillover * ds) / nullif(dd, 0) AS z_r2 FROM st)"""
+_SHOWN = ("r", "rho", "mr_loyalty", "mr_activity", "z_loyalty", "z_spillover", "z_r2")
+
+
+@query("bootstrap_all", f"{_STATS} " + " UNION ALL ".join(f"SELECT '{c}' AS statistic, round(any_value({c}) FILTER (rep = -1), 5) AS point, round(quantile_cont({c}, 0.025) FILTER (rep >= 0), 5) AS lo, round(quantile_cont({c}, 0.975) FILTER (rep >= 0), 5) AS hi, " + (f"round(count(*) FILTER (rep >= 0 AND {_MET[c]}) / 2000, 6)" if c in _MET else "NULL::DOUBLE") + " AS share FROM sx" for c in _SHOWN) + f" UNION ALL SELECT 'chi2_p', NULL, NULL, NULL, round(count(*) FILTER (rep >= 0 AND {_MET['chi2_p']}) / 2000, 6) FROM sx")
+def bootstrap_all(spark, d):
+    """All statistics over 2000 draws of entities; p of the chi-square is left out where SQL has no such function."""
+    w = keep(S.tag_hits(bullets(spark, d), THEMES).groupBy("entity", "tag").agg(F.count("*").alias("n")), "tags")
+    diverse = S.entropy(w, "entity", "n", len(THEMES)).withColumnRenamed("entropy", "diversity")
+    n = scores(spark, d).select("entity", F.col("loyalty_score").alias("loyalty"), F.col("spillover_score").alias("spillover"), F.col("activity").cast("double").alias("activity"))
+    out = RS.bootstrap_all(spark, keep(n.join(diverse, "entity", "left").na.fill(0.0, ["diversity"]), "entities"))
+    shown = F.col("statistic") != "chi2_p"
+    return out.select("statistic", *[F.round(F.when(shown, F.col(c)), 5).alias(c) for c in ("point", "lo", "hi")], F.round("share", 6).alias("share"))
+
+
+@query("reduced_r")
+def reduced_r(spark, d):
+    """The correlation of both scores over 1000 random reductions of every list to half."""
+    s = keep(S.item_scores(bullets(spark, d)).groupBy("entity", "kind", "score10").agg(F.count("*").alias("k")), "by_score")
+    n = s.groupBy("entity", "kind").agg(F.sum("k").alias("n"))
+    return RS.reduced_r(s, RS.target_counts(n, n.limit(0), 0.5))
 
 
-@query("reduced_scores")
+@query("reduced_scores", f"WITH {ITEMS}, {SCORED}, w AS (SELECT entity, kind, greatest(1, round_even(count(*) * 0.5, 0))::BIGINT AS n FROM b GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity, kind ORDER BY {_DRAW.format("bullet_id::VARCHAR || '|0|0'")}, bullet_id) AS k FROM s) SELECT entity, coalesce(sum(score10) FILTER (kind = 'loyalty'), 0) / 10.0::DOUBLE AS loyalty_raw, coalesce(sum(score10) FILTER (kind = 'spillover'), 0) / 10.0::DOUBLE AS spillover_raw, count(*) FILTER (kind = 'loyalty') AS n_loyalty, count(*) FILTER (kind = 'spillover') AS n_spillover, count(*) AS activity FROM r JOIN w USING (entity, kind) WHERE k <= n GROUP BY entity")
 def reduced_scores(spark, d):
     """Entity scores over half of every list, drawn without replacement."""
     b = bullets(spark, d)
@@ -546,7 +581,7 @@ def reduced_scores(spark, d):
     return S.entity_scores(RS.reduce_to(b, wanted, 0))
 
 
-@query("audit_sample")
+@query("audit_sample", f"WITH {ITEMS} SELECT bullet_id, t FROM b WHERE NOT {any_word('t', [w for ws in THEMES.values() for w in ws])} ORDER BY {_DRAW.format("bullet_id::VARCHAR || '|7'")}, bullet_id LIMIT 200")
 def audit_sample(spark, d):
     """200 items without any tag, drawn by hash, for review."""
     b = bullets(spark, d)

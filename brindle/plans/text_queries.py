@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as T
+from ..functions import tokenizers as K
 from ..functions import urls as U
 from ..functions import values as V
 from ..operators import indices as I
@@ -21,7 +22,7 @@ _STRIPPED = "regexp_replace(t, '(^|[^\\p{L}\\p{M}\\p{N}_.])(?:[A-Za-z0-9-]+\\.)+
 _TOKEN = "[가-힣A-Za-z0-9\\x{00c0}-\\x{024f}\\x{1e00}-\\x{1eff}\\x{0400}-\\x{04ff}]{2,}"
 _PARTS = f"list_filter(string_split({DOMAIN}, '.'), lambda x: x <> '')"
 _SLUG = f"""CASE WHEN len({_PARTS}) >= 2 THEN CASE WHEN len({_PARTS}) >= 3 AND length({_PARTS}[-1]) = 2 AND list_contains({strings(V.SECOND_LEVEL)}, {_PARTS}[-2]) THEN {_PARTS}[-3] ELSE {_PARTS}[-2] END END"""
-_STOP, _STOP_LOWER = strings(V.STOP_KO + V.STOP_KO_MORE), strings(V.STOP_EN + V.STOP_RU)
+_STOP, _STOP_LOWER = strings(V.STOP_KO + V.STOP_KO_MORE), strings(V.STOP_EN + V.STOP_EN_MORE + V.STOP_LATIN + V.STOP_RU)
 _WORDS = f"""w AS (SELECT bullet_id, entity, category, kind, t, u, list_filter(list_transform(regexp_extract_all({_STRIPPED}, '{_TOKEN}'), lambda w: regexp_replace(w, '^(.{{2,}}?)(?:{_ENDS})$', '\\1')),
   lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w) AND NOT list_contains({_STOP_LOWER}, {lower('w')}) AND NOT regexp_matches(w, '^\\p{{Nd}}+$') AND {lower('w')} <> coalesce({_SLUG}, '')) AS words FROM b)"""
 _KANA, _HAN, _THAI = "[\\x{3040}-\\x{30ff}]", "[\\x{4e00}-\\x{9fff}]", "[\\x{0e00}-\\x{0e7f}]"
@@ -50,20 +51,28 @@ def tokens_old(spark, d):
     return bullets(spark, d).select("bullet_id", F.size(T.find_all(t, T.OLD_TOKEN)).alias("n_old"), F.array_join(split, " ").alias("split"))
 
 
-@query(
-    "tokens_routed",
-    f"""WITH {ITEMS}, {_WORDS} SELECT bullet_id, len(words)::INT AS n_generic, CASE WHEN regexp_matches(t, '{_KANA}') THEN len(regexp_extract_all(t, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) ELSE 0 END::INT AS n_ja,
-  CASE WHEN NOT regexp_matches(t, '{_KANA}') THEN len(regexp_extract_all(t, '{_HAN}{{2,}}')) ELSE 0 END::INT AS n_zh, len(regexp_extract_all(t, '{_THAI}{{2,}}'))::INT AS n_th FROM w""",
-)
+def _n_runs(pattern: str, stop: list[str]) -> str:
+    return f"len(list_filter(regexp_extract_all(t, '{pattern}'), lambda x: NOT list_contains({strings(stop)}, x)))"
+
+
+_N_JA, _N_ZH, _N_TH = _n_runs("[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]{2,}", V.STOP_JA), _n_runs(_HAN + "{2,}", V.STOP_ZH), f"len(regexp_extract_all(t, '{_THAI}{{2,}}'))"
+
+
+@query("tokens_routed", f"WITH {ITEMS}, {_WORDS} SELECT bullet_id, len(words)::INT AS n_generic, CASE WHEN regexp_matches(t, '{_KANA}') THEN {_N_JA} ELSE 0 END::INT AS n_ja, CASE WHEN NOT regexp_matches(t, '{_KANA}') THEN {_N_ZH} ELSE 0 END::INT AS n_zh, {_N_TH}::INT AS n_th FROM w")
 def tokens_routed(spark, d):
-    """Tokens by the tokenizer that a text's scripts route it to, beside the generic one; runs of script stand in for analyzers that are plugged in."""
+    """Words by the tokenizer that a text's scripts route it to, beside the generic one."""
+    parts = K.routed(F.col("t"), U.slug(F.col("u")))
+    return bullets(spark, d).select("bullet_id", *[F.size(c).alias(f"n_{k}") for k, c in parts.items()])
+
+
+@query("tokens_by_era", f"WITH {ITEMS}, x AS (SELECT CASE WHEN coalesce(nullif(regexp_extract(added_round, 'r([0-9]+)', 1), '')::INT, 99) < 40 THEN 'both' ELSE 'one' END AS era, regexp_matches(t, '{_KANA}') AS kana, regexp_matches(t, '{_HAN}') AS han, {_N_JA} AS ja, {_N_ZH} AS zh FROM b) SELECT era, sum(CASE WHEN kana OR (han AND era = 'both') THEN ja ELSE 0 END)::BIGINT AS n_ja, sum(CASE WHEN han AND (NOT kana OR era = 'both') OR (kana AND era = 'both') THEN zh ELSE 0 END)::BIGINT AS n_zh FROM x GROUP BY era")
+def tokens_by_era(spark, d):
+    """Words of the Japanese and Chinese tokenizers: before a round both ran, since then a text goes to one of them."""
     t = F.col("t")
-    kana = t.rlike(T.KANA)
-    n = lambda p: F.size(T.find_all(t, p))
-    return _tokens(spark, d).select(
-        "bullet_id", F.size("words").alias("n_generic"), F.when(kana, n("[\\u3040-\\u30ff\\u4e00-\\u9fff]{2,}")).otherwise(0).alias("n_ja"),
-        F.when(~kana, n(T.HAN + "{2,}")).otherwise(0).alias("n_zh"), n(T.THAI + "{2,}").alias("n_th"),
-    )
+    old = F.coalesce(T.round_key(F.col("added_round"))["n"], F.lit(99)) < 40
+    was, now = K.routed(t, exclusive=False), K.routed(t)
+    n = [F.sum(F.when(old, F.size(was[k])).otherwise(F.size(now[k]))).alias(f"n_{k}") for k in ("ja", "zh")]
+    return bullets(spark, d).groupBy(F.when(old, "both").otherwise("one").alias("era")).agg(*n)
 
 
 @query("vectorizer_words", f"WITH {ITEMS} SELECT word, count(*) AS uses, count(DISTINCT bullet_id) AS docs FROM (SELECT bullet_id, unnest(regexp_extract_all({lower('t')}, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM b) GROUP BY word HAVING count(DISTINCT bullet_id) >= 2")
@@ -78,7 +87,8 @@ _SCRIPT_OF = f"CASE WHEN regexp_matches(word, '{_KANA}') THEN 'kana' WHEN regexp
 
 @query("token_scripts", f"WITH {ITEMS}, {_WORDS}, x AS (SELECT {_SCRIPT_OF} AS script, count(*) AS n, count(DISTINCT word) AS types FROM (SELECT unnest(words) AS word FROM w) GROUP BY 1) SELECT script, n, types, sum(n) OVER (ORDER BY n DESC, script)::BIGINT AS cum, round(sum(n) OVER (ORDER BY n DESC, script) / sum(n) OVER (), 6) AS cum_share FROM x")
 def token_scripts(spark, d):
-    w = _tokens(spark, d).select(F.explode("words").alias("word"))
+    # an inner explode would let the optimizer work the tokens out a second time, to leave out rows without any
+    w = _tokens(spark, d).select(F.explode_outer("words").alias("word")).where("word is not null")
     n = w.groupBy("word").agg(F.count("*").alias("n")).groupBy(T.token_script(F.col("word")).alias("script")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
     return L.cumulative(n, [F.desc("n"), F.asc("script")], "n").withColumn("cum_share", F.round("cum_share", 6))
 
@@ -280,6 +290,37 @@ def match_classes(spark, d):
     return p.groupBy(I.match_class(t, F.col("at"), "나무", "나무\\s*(집|배)", "숲|[0-9]").alias("class"), I.mention_type(t, "고향|출신", "공연|팬 모임|투어").alias("type")).agg(F.count("*").alias("n"))
 
 
+# Names of places in the tables' texts, standing in for regions: words that also mean something else, and one name that stands for two.
+_PLACES = {"grove": ["나무", "숲"], "station": ["역과"], "alley": ["골목"], "shop": ["제과점"]}
+_CONTEXT, _COMMON = "숲|[0-9]", {"나무": "나무\\s*(집|배)", "골목": "골목길"}
+_RULES = {"station": [("alley", "골목|광장", "[0-9]{3}")]}
+
+
+def _place_sql() -> str:
+    """Hits of every keyword as lists of places without overlap, classed and reassigned as region_mentions() does."""
+    at = lambda w: f"list_transform(range(1, len(string_split(t, '{w}'))), lambda i: (list_sum(list_transform(string_split(t, '{w}')[1:i], lambda x: length(x))) + (i - 1) * {len(w)} + 1)::BIGINT)"
+    parts = []
+    for k, (r, ws) in enumerate(_PLACES.items()):
+        hits = " || ".join(f"list_transform({at(w)}, lambda p: {{'at': p, 'class': " + (f"CASE WHEN regexp_matches(t, '{_COMMON[w]}') THEN 'common' WHEN " if w in _COMMON else "CASE WHEN ") + f"regexp_matches(substr(t, greatest(p - 6, 1), p - greatest(p - 6, 1) + {len(w) + 6}), '{_CONTEXT}') THEN 'place' ELSE 'uncertain' END}})" for w in ws)
+        near = "substr(t, greatest(h[1].at - 6, 1), h[1].at - greatest(h[1].at - 6, 1) + 8)"
+        to = "".join(f"WHEN regexp_matches({near}, '{p}')" + (f" AND NOT regexp_matches({near}, '{u}')" if u else "") + f" THEN '{o}' " for o, p, u in _RULES.get(r, []))
+        parts.append(f"SELECT bullet_id, entity, '{r}' AS region, class, CASE WHEN class <> 'common' THEN {f'CASE {to} ELSE {chr(39)}{r}{chr(39)} END' if to else chr(39) + r + chr(39)} END AS strict_region FROM (SELECT *, CASE WHEN len(list_filter(h, lambda x: x.class = 'place')) > 0 THEN 'place' WHEN len(list_filter(h, lambda x: x.class = 'uncertain')) > 0 THEN 'uncertain' ELSE 'common' END AS class FROM (SELECT bullet_id, entity, t, {hits} AS h FROM b WHERE {any_word('t', ws)}))")
+    return "pm AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("place_mentions", f"WITH {ITEMS}, {_place_sql()} SELECT * FROM pm")
+def place_mentions(spark, d):
+    """Mentions of places with their class, and the place that a name shared by several stands for."""
+    return I.region_mentions(bullets(spark, d), _PLACES, _CONTEXT, _COMMON, _RULES)
+
+
+@query("strict_index", f"WITH {ITEMS}, {_place_sql()}, m AS (SELECT entity, strict_region AS r, count(*) AS n FROM pm WHERE strict_region IS NOT NULL GROUP BY ALL) SELECT entity, sum(n)::BIGINT AS strict_total, count(*) AS strict_regions_hit, round(count(*) / 4.0, 6) AS strict_diversity, first(r ORDER BY n DESC, list_position({strings(_PLACES)}, r)) AS strict_primary FROM m GROUP BY entity")
+def strict_index(spark, d):
+    """The index of places without common words, after reassignment."""
+    m = I.region_mentions(bullets(spark, d), _PLACES, _CONTEXT, _COMMON, _RULES)
+    return I.strict_index(m, list(_PLACES)).withColumn("strict_diversity", F.round("strict_diversity", 6))
+
+
 _ALIASES = "al AS (SELECT DISTINCT entity, trim(x) AS alias FROM (SELECT entity, unnest(string_split(replace(entity, ')', ''), '(')) AS x FROM roster_history) WHERE trim(x) <> '')"
 
 

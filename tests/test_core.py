@@ -498,3 +498,88 @@ def test_tag_counts_in_one_pass_equal_those_of_hits(spark):
     a = indices.tag_counts(df, tags).orderBy("entity")
     b = indices.counts_by_tag(df, scoring.tag_hits(df, tags), list(tags)).select(a.columns).orderBy("entity")
     assert a.collect() == b.collect()
+
+
+def test_plugged_tokenizers_and_routing(spark):
+    from brindle.functions import tokenizers as K
+
+    df = spark.createDataFrame([(1, "東京の公園 and a park"), (2, "北京的公园"), (3, "สวนสาธารณะ"), (4, None), (5, "")], "id int, t string")
+    upper = K.plugged(lambda s: s.upper().split())
+    parts = K.routed(F.col("t"), tokenizers={"ja": upper})
+    got = {r["id"]: r for r in df.select("id", *[c.alias(k) for k, c in parts.items()]).collect()}
+    assert got[1]["ja"] == ["東京の公園", "AND", "PARK"] and got[1]["zh"] == [] and got[2]["ja"] == [] and got[2]["zh"] == ["北京的公园"]
+    assert got[3]["th"] == ["สวนสาธารณะ"] and not any(got[4][k] for k in parts) and not any(got[5][k] for k in parts)
+    both = K.routed(F.col("t"), exclusive=False)
+    r = df.where("id = 1").select(*[F.size(c).alias(k) for k, c in both.items()]).first()
+    assert r["ja"] > 0 and r["zh"] > 0
+
+
+def test_positions_of_words(spark):
+    texts = ["", "aaa", "xay", "나무 아래 나무", "나무", "a.b a.b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in ("a", "aa", "나무", "a.b"):
+        got = [r[0] for r in df.select(T.positions(F.col("t"), word)).collect()]
+        assert got == [None if t is None else [m.start() + 1 for m in re.finditer(re.escape(word), t)] for t in texts]
+
+
+def test_strict_regions(spark):
+    data = [(1, "E", "광주 경기도"), (2, "E", "경기 광주 공연"), (3, "E", "진주 목걸이"), (4, "E", "진주 공연"), (5, "F", "nothing"), (6, "F", None)]
+    df = spark.createDataFrame(data, "bullet_id int, entity string, t string")
+    regions = {"광주": ["광주"], "경남": ["진주"], "경기": ["경기도"]}
+    m = indices.region_mentions(df, regions, "공연", {"진주": "진주\\s*목걸이"}, {"광주": [("경기", "경기\\s*도?\\s*광주", "광역")]})
+    got = {(r["bullet_id"], r["region"]): (r["class"], r["strict_region"]) for r in m.collect()}
+    assert got == {(1, "광주"): ("uncertain", "광주"), (1, "경기"): ("uncertain", "경기"), (2, "광주"): ("place", "경기"), (3, "경남"): ("common", None), (4, "경남"): ("place", "경남")}
+    s = {r["entity"]: r for r in indices.strict_index(m, list(regions)).collect()}
+    assert set(s) == {"E"} and s["E"]["strict_total"] == 4 and s["E"]["strict_primary"] == "경기" and abs(s["E"]["strict_diversity"] - 1) < 1e-9
+
+
+def test_reductions_draw_as_items_would(spark):
+    """Means and variances of summed scores are those of drawing without replacement; all of a group gives its sum."""
+    rnd = np.random.default_rng(1)
+    data = [("E", "loyalty", int(x)) for x in rnd.integers(10, 30, 200)] + [("F", "loyalty", 10)] * 5
+    df = spark.createDataFrame(data, "entity string, kind string, score10 int")
+    want = spark.createDataFrame([("E", "loyalty", 80), ("F", "loyalty", 9)], "entity string, kind string, n long")
+    got = resample.reductions(df, want, 3000).toPandas()
+    x = np.array([d[2] for d in data[:200]]) / 10
+    e = got[got.entity == "E"].raw
+    var = 80 * x.var(ddof=1) * (1 - 80 / 200)
+    assert len(e) == 3000 and abs(e.mean() - 80 * x.mean()) < 4 * (var / 3000) ** 0.5 and abs(e.var() / var - 1) < 0.12
+    assert (got[got.entity == "F"].raw == 5.0).all()
+
+
+def scans(df):
+    """Reads of the corpus in a plan."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("fandoms_v3_100.parquet")
+
+
+def test_corpus_is_read_at_most_twice(spark, tmp_path):
+    """Whatever queries do with scores, topics or tokens, their final plan doesn't read the corpus again and again."""
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    if not __import__("os").path.exists(d):
+        pytest.skip("no tables here")
+    for name in ("spearman", "pearson", "cooks_distance", "snapshot_compare", "leave_one_out", "partial_corr", "quadrants", "bootstrap_r"):
+        assert scans(e.queries()[name](spark, d)) == 0, name
+    for name in ("umass_coherence", "index_card", "token_scripts", "tokens", "tag_index"):
+        assert scans(e.queries()[name](spark, d)) <= 3, name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from brindle import runtime
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.shared_dir(Session())
