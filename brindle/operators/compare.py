@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import urls as U
 from .stats import average_rank, corr
 from .topics import match_best
 
@@ -78,6 +79,13 @@ def frequency_language(items: DataFrame, frequencies: DataFrame, key: str = "bul
     return r.where("_r <= 2").groupBy(key).agg(F.min_by("lang", "_r").alias("lang"), (F.max("score") - F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("score"))), F.lit(0.0))).alias("margin"))
 
 
+def body_languages(items: DataFrame, frequencies: DataFrame, key: str = "bullet_id") -> DataFrame:
+    """(key, body): the language of every text by its script, of Latin text by letters of its own or else by word frequencies; en where no word is known."""
+    b = items.select(key, "t", U.body_language(F.col("t")).alias("_script"))
+    by_words = frequency_language(b.where("_script = 'latin'"), frequencies, key).select(key, F.col("lang").alias("_lang"))
+    return b.join(by_words, key, "left").select(key, F.when(F.col("_script") != "latin", F.col("_script")).otherwise(F.coalesce("_lang", F.lit("en"))).alias("body"))
+
+
 def corpus_fingerprint(items: DataFrame, score: Column) -> DataFrame:
     """(entity, n_loyalty, n_spillover, score10): what a candidate corpus is compared by."""
     one = lambda k: F.count_if(F.col("kind") == k)

@@ -19,7 +19,7 @@ from ..runtime import keep, table
 from ..sources.corpus import bullets
 from .base import CODE, FACTORS, ITEMS, SCORED, SCORES, THEME_HITS, THEMES, lower, strings
 from .entity_queries import r6, scores
-from .text_queries import _WORDS, _tokens
+from .text_queries import _BODY, _COUNTED, _WORDS, _tokens
 
 _N = "nullif(regexp_extract({0}, 'r([0-9]+)', 1), '')::INT"
 _SFX = "CASE regexp_extract({0}, 'r[0-9]+_(p2|2ch)', 1) WHEN 'p2' THEN 1 WHEN '2ch' THEN 2 ELSE 0 END"
@@ -127,15 +127,28 @@ def round_increments(spark, d):
 _FREQ = "fw AS (SELECT lang, word, count(*) AS n FROM (SELECT {c} AS lang, unnest(regexp_extract_all({l}, '[a-z\\x{{00c0}}-\\x{{024f}}\\x{{1e00}}-\\x{{1eff}}]{{2,}}')) AS word FROM b) WHERE lang IN ('en', 'es', 'fr', 'id', 'vi', 'tl', 'pt', 'tr') GROUP BY ALL HAVING count(*) >= 5), fz AS (SELECT word, lang, round(log10(n * 1e9 / sum(n) OVER (PARTITION BY lang)), 2) AS zipf FROM fw)".format(c=CODE, l=lower("t"))
 
 
-@query("frequency_language", f"WITH {ITEMS}, {_FREQ}, w AS (SELECT bullet_id, unnest(regexp_extract_all({lower('t')}, '[a-z\\x{{00c0}}-\\x{{024f}}\\x{{1e00}}-\\x{{1eff}}]{{2,}}')) AS word FROM b), c AS (SELECT bullet_id, count(*) AS n FROM w GROUP BY 1), s AS (SELECT bullet_id, lang, sum(zipf) / n AS score FROM w JOIN fz USING (word) JOIN c USING (bullet_id) GROUP BY bullet_id, lang, n), r AS (SELECT *, row_number() OVER (PARTITION BY bullet_id ORDER BY round(score, 6) DESC, lang) AS k FROM s) SELECT bullet_id, max(lang) FILTER (k = 1) AS lang, floor((max(score) FILTER (k = 1) - coalesce(max(score) FILTER (k = 2), 0)) * 100 + 1e-6)::INT AS margin FROM r WHERE k <= 2 GROUP BY bullet_id")
+_SCORED_WORDS = f"w AS (SELECT bullet_id, unnest(regexp_extract_all({lower('t')}, '[a-z\\x{{00c0}}-\\x{{024f}}\\x{{1e00}}-\\x{{1eff}}]{{2,}}')) AS word FROM b), c AS (SELECT bullet_id, count(*) AS n FROM w GROUP BY 1), s AS (SELECT bullet_id, lang, sum(zipf) / n AS score FROM w JOIN fz USING (word) JOIN c USING (bullet_id) GROUP BY bullet_id, lang, n), r AS (SELECT *, row_number() OVER (PARTITION BY bullet_id ORDER BY round(score, 6) DESC, lang) AS k FROM s)"
+
+
+@query("frequency_language", f"WITH {ITEMS}, {_FREQ}, {_SCORED_WORDS} SELECT bullet_id, max(lang) FILTER (k = 1) AS lang, floor((max(score) FILTER (k = 1) - coalesce(max(score) FILTER (k = 2), 0)) * 100 + 1e-6)::INT AS margin FROM r WHERE k <= 2 GROUP BY bullet_id")
 def frequency_language(spark, d):
     """Latin words scored by a frequency table, here made from the labelled items themselves."""
     b = bullets(spark, d)
+    return CP.frequency_language(b, _zipf(b)).withColumn("margin", F.floor(F.col("margin") * 100 + 1e-6).cast("int"))
+
+
+def _zipf(b):
     code = F.when(F.lower("lang").rlike("^[a-z]{2}(-[a-z]+)?$"), F.lower(F.substring("lang", 1, 2)))
     w = b.select(code.alias("lang"), F.explode(T.find_all(F.lower("t"), "[a-z\\u00c0-\\u024f\\u1e00-\\u1eff]{2,}")).alias("word")).where(F.col("lang").isin("en", "es", "fr", "id", "vi", "tl", "pt", "tr"))
     n = w.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 5")
-    zipf = n.join(n.groupBy("lang").agg(F.sum("n").alias("all")), "lang").select("word", "lang", F.round(F.log10(F.col("n") * 1e9 / F.col("all")), 2).alias("zipf"))
-    return CP.frequency_language(b, zipf).withColumn("margin", F.floor(F.col("margin") * 100 + 1e-6).cast("int"))
+    return n.join(n.groupBy("lang").agg(F.sum("n").alias("all")), "lang").select("word", "lang", F.round(F.log10(F.col("n") * 1e9 / F.col("all")), 2).alias("zipf"))
+
+
+@query("body_words", f"WITH {ITEMS}, {_FREQ}, {_SCORED_WORDS}, {_COUNTED.replace('c AS (', 'cc AS (', 1).replace('FROM c)', 'FROM cc)')}, h AS (SELECT bullet_id, {_BODY} AS script FROM c3) SELECT bullet_id, CASE WHEN script <> 'latin' THEN script ELSE coalesce(lang, 'en') END AS body FROM h LEFT JOIN (SELECT bullet_id, lang FROM r WHERE k = 1) USING (bullet_id)")
+def body_words(spark, d):
+    """Languages of bodies, those of Latin text by word frequencies."""
+    b = bullets(spark, d)
+    return CP.body_languages(b, _zipf(b))
 
 
 @query("term_documents", f"WITH {ITEMS}, {_WORDS} SELECT term, count(*) AS df, sum(n)::BIGINT AS tf FROM (SELECT bullet_id, term, count(*) AS n FROM (SELECT bullet_id, unnest(words) AS term FROM w WHERE len(words) >= 3) GROUP BY ALL) GROUP BY term HAVING count(*) >= 2")

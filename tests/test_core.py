@@ -583,3 +583,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         runtime.shared_dir(Session())
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from brindle import __main__ as m
+
+    assert m.main([]) == 0 and "index_card" in capsys.readouterr().out
+    assert m.main(["no such query", "--data", str(tmp_path)]) == 2
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    spark.createDataFrame([("E", "x", "live"), ("F", "y", "live")], "entity string, category string, status string").write.parquet(f"{tmp_path}/roster_history.parquet")
+    (tmp_path / "region.parquet").write_bytes(b"")
+    assert m.find_root(tmp_path / "a" / "b") == tmp_path
+    spark.createDataFrame([("E",), ("E",)], "entity string").write.parquet(f"{tmp_path}/fandoms_v3_100.parquet")
+    monkeypatch.chdir(tmp_path / "a")
+    assert m.main(["roster_semi_anti", "--out", str(tmp_path / "out"), "--expected", "2"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).where("in_corpus").count() == 1
+    assert m.main(["roster_semi_anti", "--data", str(tmp_path), "--expected", "7"]) == 1
