@@ -656,7 +656,7 @@ def event_windows(spark, d):
     return rounds.windowed(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("event_stream")
+@query("event_stream", f"SELECT * FROM ({_HOURS}) WHERE start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes")
 def event_stream(spark, d):
     """The same windows as a stream with a watermark, run over what there is and written in append mode to the shared folder; the last windows stay open."""
     import uuid
@@ -666,4 +666,4 @@ def event_stream(spark, d):
     at = f"{shared_dir(spark)}/brindle-stream-{uuid.uuid4().hex[:10]}"
     src = rounds.read_events(spark, d, table(spark, d, "events").schema)
     rounds.windowed(src.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").withColumn("total", F.round("total", 4))

@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def append_rounds(source: DataFrame, path: str, checkpoint: str, key: str = "bullet_id") -> StreamingQuery:
-    """Append each micro-batch's items that the table at `path` doesn't have, so that a repeated batch adds nothing."""
+def append_rounds(source: DataFrame, path: str, checkpoint: str, key: str = "bullet_id", parts: int = 64) -> StreamingQuery:
+    """Append each micro-batch's items that the table at `path` doesn't have, so that a repeated batch adds nothing.
 
-    def add(batch: DataFrame, _: int) -> None:
+    A batch has a folder of its own, which a retry replaces, so one that died half-way leaves nothing. Rows lie by a
+    part of their key's hash, and only the parts that a batch has keys of are read to find what is known. A null key
+    is known to nothing and appended once a batch. The table has the columns batch and part beside the source's.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("part", part)
+        own = [r[0] for r in new.select("part").distinct().collect()]  # `parts` at most
         try:
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+            seen = spark.read.option("basePath", path).parquet(path)
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("append").parquet(path)
+        else:
+            seen = seen.where((F.col("batch") != number) & F.col("part").isin(own)).select(key, "part")
+            new = new.join(seen, [key, "part"], "left_anti").select(*new.columns)
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
