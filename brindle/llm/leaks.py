@@ -36,6 +36,8 @@ EDITED = 0.5
 #: The share of an item's runs of seed length, and the number of them, that a document must share for an alignment. Of a
 #: copy with an edit every ten characters about a fifth survive.
 EVIDENCE, LEAST_RUNS = 0.12, 6
+#: Pairs that are aligned at a time.
+TOGETHER = 128
 #: Bytes of text that are compared with the items at once.
 SLICE = 500_000
 
@@ -113,8 +115,8 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[tuple
     best = np.zeros(len(pairs), np.int64)
     bands = bands or [(1 - len(a), len(b) - 1) for a, b in pairs]
     order = sorted(range(len(pairs)), key=lambda i: (bands[i][1] - bands[i][0]) * len(pairs[i][0]))
-    for at in range(0, len(order), 64):
-        part = order[at : at + 64]
+    for at in range(0, len(order), TOGETHER):
+        part = order[at : at + TOGETHER]
         n, w = max(len(pairs[i][0]) for i in part), max(bands[i][1] - bands[i][0] + 1 for i in part)
         a = np.full((len(part), n), 0x7FFFFFFF, np.uint32)
         b = np.full((len(part), n + w), 0x7FFFFFFE, np.uint32)
@@ -155,6 +157,20 @@ def _scan(docs: DataFrame, runs_of: list[Seeds], seeds: list[np.ndarray], ids: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [s.bitmap() for s in runs_of]
+        # pairs wait for their alignment until there are enough for many to be done at a time
+        todo: list[tuple[list[int], int, int]] = []  # documents of one text, item, longest run
+        pairs, bands, owner = [], [], []
+
+        def aligned() -> pa.RecordBatch:
+            score = np.zeros(len(todo), np.int64)
+            np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
+            share = [float(x) / (MATCH * len(texts[i])) for x, (_, i, _) in zip(score, todo)]
+            ok = [(k, ids[i], n, n >= runs[i], x) for x, (docs_of, i, n) in zip(share, todo) if n >= runs[i] or x >= EDITED for k in docs_of]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64())
+            for x in (todo, pairs, bands, owner):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in ok], t) for j, t in enumerate(types)], names=["doc", "item", "run", "leaked", "share"])
+
         for b in slices(batches, most=SLICE):
             keys = b.column(0).to_pylist()
             bare = Bare(b.column(1).to_pylist())
@@ -192,20 +208,21 @@ def _scan(docs: DataFrame, runs_of: list[Seeds], seeds: list[np.ndarray], ids: l
                 longest[k] = max(longest.get(k, 0), longest_equal(doc, texts[k % len(ids)], d))
             # pairs that share enough of the item's runs, and that do so within a band of diagonals
             every_pair = np.concatenate([x[0] for x in every]) if every else np.zeros(0, np.int64)
-            tally = np.bincount(every_pair, minlength=len(keys) * len(ids))
-            wanted = np.union1d(np.flatnonzero(tally >= np.tile(need, len(keys))), [k for k, n in longest.items() if n >= runs[k % len(ids)]]).astype(np.int64)
+            known = np.array([k for k, n in longest.items() if n >= runs[k % len(ids)]], np.int64)
+            line = np.sort(every_pair)
+            at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
+            tally = np.diff(at, append=len(line))
+            wanted = np.union1d(line[at][tally >= need[line[at] % len(ids)]], known)
             use = np.flatnonzero(np.isin(every_pair, wanted))
             line = np.sort(every_pair[use] * _WIDE + np.concatenate([x[1] for x in every])[use] + _WIDE // 2) if every else every_pair
             within = np.searchsorted(line, line + BAND, "right") - np.arange(len(line))
             item = line // _WIDE % len(ids)
             close = within >= need[item]
-            known = np.array([k for k, n in longest.items() if n >= runs[k % len(ids)]], np.int64)
             use = np.flatnonzero(np.isin(line // _WIDE, np.union1d(line[close] // _WIDE, known)))
-            todo, pairs, bands, owner = [], [], [], []
             for part in np.split(use, np.flatnonzero(np.diff(line[use] // _WIDE)) + 1) if len(use) else ():
                 k = int(line[part[0]] // _WIDE)
                 r, i = divmod(k, len(ids))
-                doc = bare.arr[int(bare.starts[r]) : int(ends[r])]
+                doc = bare.arr[int(bare.starts[r]) : int(ends[r])].copy()
                 leaked = longest.get(k, 0) >= runs[i]
                 if not leaked and len(doc) < EDITED * len(texts[i]):
                     continue  # an alignment scores MATCH for each character of the document at most
@@ -222,19 +239,11 @@ def _scan(docs: DataFrame, runs_of: list[Seeds], seeds: list[np.ndarray], ids: l
                     else:
                         continue
                     last = x
-                todo.append((r, i, longest.get(k, 0)))
-            score = np.zeros(len(todo), np.int64)
-            np.maximum.at(score, np.array(owner, np.int64), smith_waterman(pairs, bands))
-            share = [float(x) / (MATCH * len(texts[t[1]])) for x, t in zip(score, todo)]
-            ok = [(r, i) for i, t in enumerate(todo) if t[2] >= runs[t[1]] or share[i] >= EDITED for r in rows[t[0]]]
-            cols = [
-                pa.array([keys[r] for r, _ in ok], pa.int64()),
-                pa.array([ids[todo[i][1]] for _, i in ok], pa.int64()),
-                pa.array([todo[i][2] for _, i in ok], pa.int32()),
-                pa.array([todo[i][2] >= runs[todo[i][1]] for _, i in ok], pa.bool_()),
-                pa.array([share[i] for _, i in ok], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "item", "run", "leaked", "share"])
+                todo.append(([keys[x] for x in rows[r]], i, longest.get(k, 0)))
+            if len(pairs) >= 2 * TOGETHER:
+                yield aligned()
+        if todo:
+            yield aligned()
 
     return arrow_map(docs, run, "doc long, item long, run int, leaked boolean, share double")
 
