@@ -1,9 +1,11 @@
 """The operators for training text against brute force on small tables, and on awkward input."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -627,3 +629,33 @@ def test_leaks_edited_into_short_runs(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(df, it).collect()}
     assert set(got) == {(1, 1), (2, 2)} | {(100 + i, 3) for i in range(60)}
     assert all(not r["leaked"] and r["aligned"] > 0.7 for r in got.values())
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """What is written out needs its shuffle files no more; those of p4_found were what filled the disk."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = blocks.getAllBlocks().iterator()
+        return {str(b) for b in iter(lambda: found.next() if found.hasNext() else None, None) if str(b).startswith("shuffle_")}
+
+    before = shuffled()
+    kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    end = time.time() + 5
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert kept.count() == 7
+
+
+def test_turns_of_the_index_hold_every_entry_once(spark, monkeypatch):
+    """The entries of all turns are those of one, and no turn has most of them."""
+    texts = ["the quick brown fox jumps over the lazy dog by the river bank", "short text", "another line of words that has nothing to do with it"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([t.replace(" ", "") for t in texts])], names=["id", "bare"])
+
+    def entries(turns):
+        monkeypatch.setattr(neardup, "TURNS", turns)
+        return [sorted((k, i) for b in neardup._signatures(np.zeros(1 << 19, np.uint8), t)(iter([batch])) for k, i in zip(*(c.to_pylist() for c in b.columns))) for t in range(turns)]
+
+    (whole,), parts = entries(1), entries(2)
+    assert sorted(parts[0] + parts[1]) == whole and max(map(len, parts)) < 0.7 * len(whole)
