@@ -1,11 +1,13 @@
 """Model bundles, studies of many fits, and comparisons of models."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.catalog import QUERIES
-from brindle.operators import compare, lineage, topics
+from brindle.operators import compare, lineage, topics, variational
 from brindle.plans import bundle, compare_queries, entity_queries
 from brindle.sources import sinks
 
@@ -106,3 +108,33 @@ def test_bootstraps_draw_as_often_as_the_method(monkeypatch, spark):
     QUERIES["bootstrap_r"](spark, "")
     QUERIES["bootstrap_difference"](spark, "")
     assert reps == [2000, 2000]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_rounds_pass_over_every_document_once(monkeypatch, spark, docs, small):
+    """Topics x terms hold every token once, however the documents are spread and whether a fit is one task or many."""
+    monkeypatch.setattr(variational, "SMALL", small)
+    vec = topics.vectorize(docs)[1]
+    lam = [topics.fit_topics(vec.transform(docs.repartition(n)), 4, 1, 3).topicsMatrix().toArray() for n in (1, 3)]
+    tokens = docs.selectExpr("sum(size(words))").first()[0]
+    assert lam[0].shape == (12, 4)
+    for x in lam:
+        assert x.sum() == pytest.approx(tokens + 12, rel=1e-5)  # each topic has a prior of 1 / 4 for each term
+    assert lam[0] == pytest.approx(lam[1], rel=1e-2, abs=1e-2)
+
+
+def test_shares_and_perplexity_are_those_of_spark(spark, docs):
+    more = docs.select("doc", "words").unionByName(spark.createDataFrame([(99, [])], "doc long, words array<string>"))
+    counted, _ = topics.vectorize(more)
+    model = topics.fit_topics(counted, 3, 1, 20)
+    same = model.as_spark()
+    assert topics.perplexity(model, counted) == pytest.approx(np.exp(same.logPerplexity(counted)), rel=1e-2)
+    want = {r.doc: r.topicDistribution.toArray() for r in same.transform(counted).collect()}
+    for r in topics.theta(model, counted).collect():
+        assert r.weight == pytest.approx(want[r.doc][r.topic], abs=0.02)
+
+
+def test_functions_of_gamma():
+    x = np.array([0.03, 0.5, 1.0, 7.5, 1e4])
+    assert variational.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
+    assert np.log(variational.exp_digamma(x)) == pytest.approx([(math.lgamma(v * (1 + 1e-6)) - math.lgamma(v * (1 - 1e-6))) / (2e-6 * v) for v in x], rel=1e-5)
