@@ -659,3 +659,57 @@ def test_turns_of_the_index_hold_every_entry_once(spark, monkeypatch):
 
     (whole,), parts = entries(1), entries(2)
     assert sorted(parts[0] + parts[1]) == whole and max(map(len, parts)) < 0.7 * len(whole)
+
+
+def test_near_duplicates_make_each_text_bare_once(spark, bullets):
+    """The rows are read and made bare once, not again for the keys of the texts that are linked."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    few = [(b[0], b[2]) for b in bullets if b[2] and b[2] != LONG]
+    df = spark.createDataFrame(few, "bullet_id long, t string")
+    want = rows(neardup.alike_pairs(df), "bullet_id_a", "bullet_id_b")
+    for f, cols in ((neardup.alike_pairs, ("bullet_id_a", "bullet_id_b")), (neardup.classes, ("bullet_id", "class_id"))):
+        read.value = 0
+        got = rows(f(df.mapInArrow(count, df.schema)), *cols)
+        assert read.value == len(few)
+        assert f is neardup.classes or got == want != []
+
+
+def test_pairs_that_cannot_be_alike_are_not_compared(monkeypatch):
+    """Verified pairs are those of brute force; hardly any that is far from alike has its runs sorted and compared."""
+    rnd = random.Random(11)
+    text = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz한국어") for _ in range(k))
+
+    def edited(t):
+        for _ in range(rnd.randint(0, 20)):
+            i = rnd.randint(0, len(t))
+            t = t[:i] + text(rnd.randint(0, 2)) + t[i + rnd.randint(0, 3) :]
+        return t
+
+    far = [(text(130), text(130)) for _ in range(300)]
+    pairs = far + [(t, edited(t)) for t in (text(rnd.choice([3, 9, 40, 130])) for _ in range(600))]
+    pairs += [("ab", "abc"), ("a", "a"), ("", ""), ("abc", "abc"), ("x" * 5000, "x" * 9), ("ab" * 4000, "ab" * 3000), (text(3000), text(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(range(len(pairs))), *(pa.array(c) for c in zip(*pairs))], names=["a", "b", "ta", "tb"])
+    share = [forms.alike_share(*map(forms.trigrams, p)) for p in pairs]
+    compared = []
+    monkeypatch.setattr(neardup, "segments", lambda arr, starts, lens, f=neardup.segments: compared.append(len(lens)) or f(arr, starts, lens))
+    got = {r["a"]: r["share"] for b in neardup.verify(0.6)(iter([batch.slice(0, 300), batch.slice(300, 1), batch.slice(301)])) for r in b.to_pylist()}
+    assert got == {i: pytest.approx(x) for i, x in enumerate(share) if x >= 0.6} and len(got) > 100
+    assert sum(compared) / 2 < sum(x >= 0.3 for x in share) + 20
+
+
+def test_equal_bytes_of_signatures(spark):
+    """Bytes are counted by SQL as by numpy, whatever their signs, also where numbers are checked for overflow."""
+    rnd = np.random.default_rng(6)
+    a = rnd.integers(0, 256, (400, neardup.POSITIONS), np.uint8)
+    b = np.where(rnd.random(a.shape) < rnd.random((400, 1)), a, rnd.integers(0, 256, a.shape, np.uint8))
+    a[:2], b[0], b[1] = 255, 0, 255
+    names = [x + w for x in "ab" for w in neardup.WORD_NAMES]
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(np.hstack([a, b]).view(np.int64))], "i int, " + ", ".join(f"{n} long" for n in names))
+    got = dict(df.select("i", F.expr(neardup._equal_bytes("a", "b"))).collect())
+    assert [got[i] for i in range(400)] == (a == b).sum(1).tolist()
