@@ -599,6 +599,23 @@ def test_a_large_group_of_near_duplicates(spark):
     assert len(want) > 100_000 and got <= want and len(got) >= 0.995 * len(want)
 
 
+def test_near_duplicates_of_a_large_collection(spark, bullets, monkeypatch):
+    """As many texts as make most of their runs commonplace: the links are those of brute force, and texts of one template hardly meet."""
+    for name, value in (("COMMON_LEAST", 20), ("COMMON_ROOT", 0.0), ("LARGE", 100), ("BROAD", 0.1)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    met, real = [], neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda df, what, sweep=False: met.append(real(df, what, sweep)) or met[-1] if what == "pairs" else real(df, what, sweep))
+    monkeypatch.setattr(neardup, "release", lambda *kept: None)
+    texts = [forms.bare(b[2]) for b in bullets] + template(400, 100, (5, 20, 35, 50, 65, 80), 5, 7)
+    tri = [forms.trigrams(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and forms.alike_share(tri[i], tri[j]) >= neardup.THRESHOLD}
+    df = spark.createDataFrame(list(enumerate(texts)), "bullet_id long, t string")
+    got = {(r[0], r[1]) for r in neardup.alike_pairs(df).collect()}
+    assert got == want and len(want) >= 40
+    chance = sum(p.count() for p in met)
+    assert chance < 800
+
+
 def test_near_duplicates_whatever_the_partitioning(spark, bullets):
     """The same pairs from one partition and from many, and all of them with `exact`."""
     texts = [b[2] for b in bullets] + template(60, 60, (12, 40), 4, 5) + template(40, 20, (3,), 3, 6)
