@@ -92,6 +92,43 @@ def test_grid_of_topics_is_that_of_the_method(monkeypatch, spark, docs):
     assert fits == [(k, s, 50) for k in (8, 10, 12, 15, 20, 25, 30) for s in (1, 2, 3)]
 
 
+def test_fits_are_begun_as_the_driver_has_memory(monkeypatch, spark, docs):
+    """What the driver holds of topics x terms at once is bounded, whatever the number of fits; small ones are begun side by side."""
+    held, most = set(), []
+
+    class Fit:
+        def __init__(self, k):
+            held.add(id(self))
+            most.append(len(held))
+
+        def topics(self):
+            return None
+
+        def __del__(self):
+            held.discard(id(self))
+
+    monkeypatch.setattr(topics, "fit_topics", lambda counted, k, seed, rounds=50: Fit(k))
+    jobs = [(k, s) for k in (8, 10, 12) for s in (1, 2, 3)]
+    for terms, want in ((12, 9), (1_000_000, 2)):
+        most.clear()
+        assert [k for k, m in topics.fits(None, jobs, terms)] == [k for k, _ in jobs]
+        assert max(most) <= want and (want < 9 or max(most) == 9)
+
+
+def test_topics_take_four_bytes_a_cell(monkeypatch, spark, docs):
+    """Nothing of the size of topics x terms is made in eight bytes at the driver while the rounds run."""
+    monkeypatch.setattr(variational, "SMALL", 0)
+    seen, real = [], variational._weights
+    monkeypatch.setattr(variational, "_weights", lambda lam: seen.append(lam.dtype) or real(lam))
+    counted, vec = topics.vectorize(docs)
+    model = topics.fit_topics(counted, 4, 1, 3)
+    model.topicsMatrix()
+    assert set(seen) == {np.dtype(np.float32)}
+    row = np.array([1.0, 3.0, 3.0, 2.0, 3.0])
+    words = ["e", "d", "c", "b", "a"]
+    assert [topics._heaviest(row, words, n) for n in (0, 1, 2, 4, 9)] == [[], [4], [4, 2], [4, 2, 1, 3], [4, 2, 1, 3, 0]]
+
+
 def test_best_match_of_every_cloud(monkeypatch, spark):
     """Every cloud has a row, and one of the same parity may be the best."""
     rows = [(1, "e", ["a", "b", "c"]), (3, "e", ["a", "b", "d"]), (2, "e", ["a", "x"]), (4, "e", ["z"]), (5, "f", ["a", "b", "c"])]
